@@ -1,4 +1,9 @@
-"""Column expressions of claims preparation and code features."""
+"""Expressions of claims preparation and code features.
+
+Those used for a few columns are ``Column`` functions. Those used for dozens of
+columns at once give SQL text, so that a wide projection is parsed in one call
+instead of being put together by thousands of driver calls.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +18,17 @@ PREFIX_LENGTH = 2
 MISSING_PREFIX = "na"
 
 
-def two_to_zero(flag: Column) -> Column:
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def named(expression: str, name: str) -> str:
+    return f"{expression} AS {quoted(name)}"
+
+
+def two_to_zero(flag: str) -> str:
     """1 = yes, 2 = no becomes 1 / 0; any other value stays."""
-    return F.when(flag == 2, F.lit(0)).otherwise(flag)
+    return f"CASE WHEN {flag} = 2 THEN 0 ELSE {flag} END"
 
 
 def renal_flag(indicator: Column) -> Column:
@@ -53,10 +66,10 @@ def code_prefix(code: Column) -> Column:
     return F.coalesce(F.substring(code, 1, PREFIX_LENGTH), F.lit(MISSING_PREFIX))
 
 
-def term_frequency(term_count: Column, document_length: Column) -> Column:
-    return F.try_divide(term_count.cast("double"), document_length.cast("double"))
+def term_frequency(term_count: str, document_length: str) -> str:
+    return f"try_divide(CAST({term_count} AS DOUBLE), CAST({document_length} AS DOUBLE))"
 
 
-def inverse_document_frequency(documents: Column, rows_with_term: Column) -> Column:
+def inverse_document_frequency(documents: int, rows_with_term: str) -> str:
     """``log2(N / rows)``; rows are claim rows, so the value may be negative."""
-    return F.log2(F.try_divide(documents.cast("double"), rows_with_term.cast("double")))
+    return f"log2(try_divide({documents}D, CAST({rows_with_term} AS DOUBLE)))"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from claimscope.functions.claims import named, quoted
 from claimscope.schemas import onehot_name
 
 MAX_LEVELS = 1000
@@ -28,7 +29,7 @@ def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVE
 def one_hot(df: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
     """Add one 0/1 column per level but the first; NULL gives 0 everywhere."""
     flags = {
-        onehot_name(column, level): F.coalesce((F.col(column) == F.lit(level)).cast("int"), F.lit(0))
+        onehot_name(column, level): F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
         for column, values in levels.items()
         for level in values[1:]
     }
@@ -38,10 +39,11 @@ def one_hot(df: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
 def fill_zero(df: DataFrame) -> DataFrame:
     """NULL to 0 in numeric columns; text and dates keep their NULLs."""
 
-    def filled(field):
-        column = F.col(f"`{field.name}`")
+    def filled(field) -> str:
+        column = quoted(field.name)
         if isinstance(field.dataType, NumericType):
-            return F.coalesce(column, F.lit(0).cast(field.dataType)).alias(field.name)
+            zero = f"CAST(0 AS {field.dataType.simpleString()})"
+            return named(f"coalesce({column}, {zero})", field.name)
         return column
 
-    return df.select(*[filled(f) for f in df.schema])
+    return df.selectExpr(*[filled(f) for f in df.schema])

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.functions.claims import named, quoted
 from claimscope.operators.lookup import BROADCAST_ROWS, HOT_SHARE, has_key, lookup_join
 from claimscope.sources.staging import stage
 
@@ -63,13 +64,9 @@ def group_count(
 class KeySet:
     """One grouping: key columns, and a column that must be non-null to take part."""
 
-    keys: tuple[Column, ...]
+    keys: tuple[str, ...]
     requires: str | None = None
 
-    @classmethod
-    def of(cls, *names: str, requires: str | None = None) -> KeySet:
-        return cls(tuple(F.col(n) for n in names), requires)
-
 
 class KeyPlan:
     """Key sets that share one pass over the claims."""
@@ -79,19 +76,20 @@ class KeyPlan:
         self.parts = [f"key_{i}" for i in range(max(len(s.keys) for s in self.sets))]
         self.columns = ["set_id", *self.parts]
 
-    def _entry(self, set_id: int, key_set: KeySet) -> Column:
-        parts = [k.cast("string") for k in key_set.keys]
+    def _entry(self, set_id: int, key_set: KeySet) -> str:
+        parts = [f"CAST({quoted(k)} AS STRING)" for k in key_set.keys]
         if key_set.requires is not None:
-            parts[0] = F.when(F.col(key_set.requires).isNotNull(), parts[0])
+            parts[0] = f"CASE WHEN {quoted(key_set.requires)} IS NOT NULL THEN {parts[0]} END"
         # Within a set all tuples have the same padding, so '' cannot clash with a key.
-        parts += [F.lit("")] * (len(self.parts) - len(parts))
-        named = [p.alias(n) for p, n in zip(parts, self.parts)]
-        return F.struct(F.lit(set_id).alias("set_id"), *named)
+        parts += ["''"] * (len(self.parts) - len(parts))
+        fields = ", ".join(f"'{n}', {p}" for n, p in zip(self.parts, parts))
+        return f"named_struct('set_id', {set_id}, {fields})"
 
     def melt(self, df: DataFrame, *carry: str) -> DataFrame:
         """One row per claim and key set whose key has no NULL part."""
-        entries = F.array(*[self._entry(i, s) for i, s in enumerate(self.sets)])
-        return df.select(*carry, F.inline(entries)).filter(has_key(self.parts))
+        entries = ", ".join(self._entry(i, s) for i, s in enumerate(self.sets))
+        melted = df.selectExpr(*map(quoted, carry), f"inline(array({entries}))")
+        return melted.filter(has_key(self.parts))
 
 
 def keyed_table(
@@ -145,7 +143,7 @@ def attach(
         broadcast_rows,
     )
     picked = [
-        F.max(F.when(F.col("set_id") == set_id, F.col(value))).alias(name)
+        F.expr(named(f"max(CASE WHEN set_id = {set_id} THEN {quoted(value)} END)", name))
         for name, (set_id, value) in outputs.items()
     ]
     # The thin rows are shuffled, not the partly filled wide ones.
@@ -160,7 +158,7 @@ def group_counts(
 
     ``key_sets`` maps each output column to its key columns.
     """
-    plan = KeyPlan([KeySet.of(*k, requires=ROW_ID) for k in key_sets.values()])
+    plan = KeyPlan([KeySet(tuple(k), ROW_ID) for k in key_sets.values()])
     marked = claims.withColumn(IN_BATCH, F.lit(True))
     table = keyed_table(marked, plan, [F.count(F.lit(1)).alias("n")])
     outputs = {name: (i, "n") for i, name in enumerate(key_sets)}

@@ -11,7 +11,8 @@ from claimscope.functions import claims as C
 
 def recode_flags(beneficiary: DataFrame) -> DataFrame:
     """Chronic-condition flags from 1/2 to 1/0; other columns keep their 2s."""
-    return beneficiary.withColumns({c: C.two_to_zero(F.col(c)) for c in S.CHRONIC_FLAGS})
+    recoded = {c: C.named(C.two_to_zero(C.quoted(c)), c) for c in S.CHRONIC_FLAGS}
+    return beneficiary.selectExpr(*[recoded.get(c, C.quoted(c)) for c in beneficiary.columns])
 
 
 def recode_renal(beneficiary: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimscope import schemas as S
 from claimscope.operators import encode, keyed, prepare, sampling
-from claimscope.functions.claims import code_prefix
+from claimscope.functions.claims import code_prefix, named, quoted
 from claimscope.operators.group_features import group_count, group_counts, group_means
 from claimscope.operators.scale import fit_scaler
 from claimscope.plans.features import (
@@ -28,10 +28,6 @@ from claimscope.sources.staging import stage, staging_root
 SAMPLE_SEED = 42
 
 
-def _quoted(names) -> list:
-    return [F.col(f"`{n}`") for n in names]
-
-
 # ------------------------------------------------------------ sources and sinks
 def _as_csv(df: DataFrame, name: str) -> str:
     path = f"{staging_root(df.sparkSession)}/csv-{name}-{df.sparkSession.sparkContext.applicationId}"
@@ -197,9 +193,8 @@ def _tfidf(codes: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = [f"{c}TF" for c in codes]
     logs = [n for c in codes for n in S.tfidf_names(c)[1:]]
     ids = pool.batch.select("ClaimID", "Provider")
-    return ids.join(values, ROW_ID, "left").select(
-        "ClaimID", "Provider", *_quoted(tf), *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in logs]
-    )
+    rounded = [named(f"round({quoted(n)}, 6)", n) for n in logs]
+    return ids.join(values, ROW_ID, "left").selectExpr("ClaimID", "Provider", *tf, *rounded)
 
 
 # ------------------------------------------------------------ the feature frame
@@ -207,10 +202,11 @@ _LOG_FEATURES = {n for c in S.TFIDF_CODES for n in S.tfidf_names(c)[1:]}
 
 
 def _rounded_logs(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(
-        ROW_ID,
-        *[F.round(F.col(f"`{n}`"), 6).alias(n) if n in _LOG_FEATURES else F.col(f"`{n}`") for n in names],
-    )
+    def value(name: str) -> str:
+        column = quoted(name)
+        return named(f"round({column}, 6)", name) if name in _LOG_FEATURES else column
+
+    return df.selectExpr(ROW_ID, *map(value, names))
 
 
 def batch_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +236,9 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = feature_matrix(*_pair(spark, sf_dir))
     written = stage(matrix.frame, "matrix")
     scaled = fit_scaler(written, matrix.names).transform(written)
-    return scaled.select(ROW_ID, *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in matrix.names])
+    return scaled.selectExpr(
+        ROW_ID, *[named(f"round({quoted(n)}, 6)", n) for n in matrix.names]
+    )
 
 
 # -------------------------------------------------------------------- the model

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope import schemas as S
+from claimscope.functions.claims import named
 
 BATCH_FROM = "2001-01-01"
 HISTORY_BEFORE = "2001-02-01"
@@ -101,8 +102,8 @@ CLAIM_EXPR: dict[str, str] = {
 }
 
 
-def _aliased(exprs: dict[str, str]) -> list:
-    return [F.expr(e).alias(n) for n, e in exprs.items()]
+def _aliased(exprs: dict[str, str]) -> list[str]:
+    return [named(e, n) for n, e in exprs.items()]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +111,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(*_aliased(BENEFICIARY_EXPR))
+    return table(spark, sf_dir, "customer").selectExpr(*_aliased(BENEFICIARY_EXPR))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +136,8 @@ def _raw_pair(claims: DataFrame, raise_by: int) -> tuple[DataFrame, DataFrame]:
     exprs = dict(CLAIM_EXPR)
     if raise_by:
         exprs["InscClaimAmtReimbursed"] += f" + {raise_by}"
-    inpatient = claims.filter(INPATIENT_TEST).select(*_aliased(exprs))
-    outpatient = claims.filter(f"not ({INPATIENT_TEST})").select(
+    inpatient = claims.filter(INPATIENT_TEST).selectExpr(*_aliased(exprs))
+    outpatient = claims.filter(f"not ({INPATIENT_TEST})").selectExpr(
         *_aliased({n: e for n, e in exprs.items() if n not in S.ADMISSION_ONLY})
     )
     return inpatient, outpatient
