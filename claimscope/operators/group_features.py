@@ -71,11 +71,16 @@ class KeySet:
 class KeyPlan:
     """Key sets that share one pass over the claims."""
 
-    def __init__(self, sets: Sequence[KeySet]):
+    def __init__(self, sets: Sequence[KeySet], chosen: set[int] | None = None):
         self.sets = list(sets)
+        self.chosen = chosen
         self.parts = [f"key_{i}" for i in range(max(len(s.keys) for s in self.sets))]
         self.columns = ["set_id", *self.parts]
 
+    def only(self, chosen: set[int]) -> KeyPlan:
+        """The same plan, making rows for some of its sets."""
+        return KeyPlan(self.sets, chosen)
+
     def _entry(self, set_id: int, key_set: KeySet) -> str:
         parts = [f"CAST({quoted(k)} AS STRING)" for k in key_set.keys]
         if key_set.requires is not None:
@@ -87,7 +92,11 @@ class KeyPlan:
 
     def melt(self, df: DataFrame, *carry: str) -> DataFrame:
         """One row per claim and key set whose key has no NULL part."""
-        entries = ", ".join(self._entry(i, s) for i, s in enumerate(self.sets))
+        entries = ", ".join(
+            self._entry(i, s)
+            for i, s in enumerate(self.sets)
+            if self.chosen is None or i in self.chosen
+        )
         melted = df.selectExpr(*map(quoted, carry), f"inline(array({entries}))")
         return melted.filter(has_key(self.parts))
 
@@ -95,15 +104,17 @@ class KeyPlan:
 def keyed_table(
     claims: DataFrame,
     plan: KeyPlan,
-    aggregates: list[Column],
+    aggregates: Mapping[str, Column],
+    value: str,
     carry: Sequence[str] = (),
     only_keys_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Aggregates per (key set, key) over all claims, for the keys the batch has.
+    """One ``value`` per (key set, key) over all claims, for the keys the batch has.
 
-    ``claims`` has a boolean ``in_batch``. ``only_keys_of`` may name the batch claims
-    when their number is known to be small: rows of other keys are then dropped map
-    side, before any shuffle.
+    ``value`` is SQL text over the named ``aggregates``, which may use the columns of
+    ``carry``; ``claims`` has a boolean ``in_batch``. ``only_keys_of`` may name the batch
+    claims when their number is known to be small: rows of other keys are then dropped
+    map side, before any shuffle.
     """
     melted = plan.melt(claims, IN_BATCH, *carry)
     if only_keys_of is not None:
@@ -111,44 +122,74 @@ def keyed_table(
         melted = melted.join(F.broadcast(wanted), plan.columns, "left_semi")
     per_key = (
         melted.groupBy(*plan.columns)
-        .agg(*aggregates, F.count_if(IN_BATCH).alias("_rows"))
+        .agg(*[c.alias(n) for n, c in aggregates.items()], F.count_if(IN_BATCH).alias("_rows"))
         .filter("_rows > 0")
+        .selectExpr(*plan.columns, f"{value} AS value", "_rows")
     )
     return stage(per_key, "keyed")
 
 
+def _direct_sets(table: DataFrame, plan: KeyPlan, budget: int) -> list[int]:
+    """Single-key sets to broadcast whole: the smallest, within ``budget`` rows in all."""
+    sizes = table.groupBy("set_id").count().orderBy("count", "set_id").collect()
+    chosen = []
+    for set_id, size in sizes:
+        if len(plan.sets[set_id].keys) == 1 and plan.sets[set_id].requires is None:
+            budget -= size
+            if budget < 0:
+                break
+            chosen.append(set_id)
+    return chosen
+
+
 def attach(
-    batch: DataFrame,
+    rows: DataFrame,
     table: DataFrame,
     plan: KeyPlan,
-    outputs: Mapping[str, tuple[int, str]],
-    batch_rows: int,
+    n_rows: int,
+    prefix: str,
     share: float = HOT_SHARE,
     broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """One row per batch ``ClaimID`` with its group values.
+) -> tuple[DataFrame, dict[int, str]]:
+    """``rows`` with the group values of ``table``, and SQL text for each set's value.
 
-    ``outputs`` maps an output column to (key set number, column of ``table``).
-    ``batch`` has unique claim ids; claims without any complete key are left out.
+    ``rows`` has unique claim ids. Single-key sets counted to be small are broadcast and
+    joined map side. The others are looked up as thin rows and folded into one map per
+    claim, which has at most one entry per key set. New columns start with ``prefix``.
+    A value is NULL for a claim without the complete key.
     """
-    values = sorted({value for _, value in outputs.values()})
+    direct = _direct_sets(table, plan, broadcast_rows)
+    wide, texts = rows, {}
+    for set_id in direct:
+        column, part = f"{prefix}_{set_id}", f"{prefix}_key"
+        values = table.filter(F.col("set_id") == set_id).selectExpr(
+            f"key_0 AS {part}", f"value AS {column}"
+        )
+        same = F.expr(f"CAST({quoted(plan.sets[set_id].keys[0])} AS STRING) = {part}")
+        wide = wide.join(F.broadcast(values), same, "left").drop(part)
+        texts[set_id] = column
+
+    others = [i for i in range(len(plan.sets)) if i not in direct]
+    if not others:
+        return wide, texts
     found = lookup_join(
-        plan.melt(batch, ROW_ID),
-        table,
+        plan.only(set(others)).melt(rows, ROW_ID),
+        table.filter(~F.col("set_id").isin(direct)) if direct else table,
         plan.columns,
         "_rows",
-        batch_rows,
+        n_rows,
         "inner",
         share,
         broadcast_rows,
     )
-    picked = [
-        F.expr(named(f"max(CASE WHEN set_id = {set_id} THEN {quoted(value)} END)", name))
-        for name, (set_id, value) in outputs.items()
-    ]
-    # The thin rows are shuffled, not the partly filled wide ones.
-    thin = found.select(ROW_ID, "set_id", *values).repartition(ROW_ID)
-    return thin.groupBy(ROW_ID).agg(*picked)
+    folded = (
+        found.select(ROW_ID, "set_id", "value")
+        .groupBy(ROW_ID)
+        .agg(F.expr(f"map_from_entries(collect_list(struct(set_id, value))) AS {prefix}_map"))
+    )
+    for set_id in others:
+        texts[set_id] = f"try_element_at({prefix}_map, {set_id})"
+    return wide.join(folded, ROW_ID, "left"), texts
 
 
 def group_counts(
@@ -160,7 +201,7 @@ def group_counts(
     """
     plan = KeyPlan([KeySet(tuple(k), ROW_ID) for k in key_sets.values()])
     marked = claims.withColumn(IN_BATCH, F.lit(True))
-    table = keyed_table(marked, plan, [F.count(F.lit(1)).alias("n")])
-    outputs = {name: (i, "n") for i, name in enumerate(key_sets)}
-    counts = attach(claims, table, plan, outputs, claims.count(), **limits)
-    return claims.join(counts, ROW_ID, "left")
+    table = keyed_table(marked, plan, {"n": F.count(F.lit(1))}, "n")
+    found, texts = attach(claims, table, plan, claims.count(), "_count", **limits)
+    counts = [named(texts[i], name) for i, name in enumerate(key_sets)]
+    return found.selectExpr(*map(quoted, claims.columns), *counts)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.operators.lookup import BROADCAST_ROWS
+from claimscope.sources.staging import stage
+
 SOURCE = "src_priority"
 
 
@@ -30,22 +33,53 @@ def keep_first(
     return df.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
 
 
+def unique_rows(
+    table: DataFrame,
+    key: str,
+    order_by: Sequence[str | Column] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``keep_first`` for a written table in which most keys are expected once.
+
+    A count per key, reading the key column alone, finds the repeated keys. Without
+    any, the table is returned as it is. A few are broadcast, and all other rows pass
+    without a shuffle or a sort. Many are sorted out by ``keep_first`` and written.
+    """
+    per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = stage(per_key.select(key, F.lit(True).alias("_again")), "repeated")
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return table
+    if n_repeated > broadcast_rows:
+        return stage(keep_first(table, key, order_by), "unique")
+    marked = table.join(F.broadcast(repeated), key, "left").select(*table.columns, "_again")
+    is_single = F.col("_again").isNull() & F.col(key).isNotNull()
+    copies = keep_first(marked.filter(~is_single).drop("_again"), key, order_by)
+    return marked.filter(is_single).drop("_again").unionByName(stage(copies, "copies"))
+
+
 def merge_batch_history(
     batch: DataFrame,
     history: DataFrame,
     key: str = "ClaimID",
     order_by: Sequence[str | Column] | None = None,
     history_unique: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Batch and history as one table with unique ``key``; the batch copy wins.
 
-    With ``history_unique`` (ids of the history known to be distinct) the history is
-    not shuffled for a small batch: its rows with a batch id are dropped by an anti join.
+    For written tables. A batch counted to be small costs the history no shuffle: its
+    rows with a batch key are dropped map side. ``history_unique`` skips the count of
+    the history's keys.
     """
-    columns = [c for c in batch.columns if c != key]
-    order = list(order_by) if order_by is not None else columns
+    older = history.select(*batch.columns)
     if not history_unique:
-        return keep_first(batch_history_union(batch, history), key, [SOURCE, *order])
-    newer = keep_first(batch.withColumn(SOURCE, F.lit(0)), key, order)
-    older = history.select(*batch.columns).withColumn(SOURCE, F.lit(1))
-    return newer.unionByName(older.join(batch.select(key), key, "left_anti"))
+        older = unique_rows(older, key, order_by, broadcast_rows)
+    newer = unique_rows(batch, key, order_by, broadcast_rows)
+    # A missing key equals a missing key here, as when keeping the first of both.
+    ids = batch.select(F.col(key).alias("_id"))
+    is_small = batch.count() <= broadcast_rows
+    ids = F.broadcast(ids) if is_small else ids
+    older = older.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    merged = newer.withColumn(SOURCE, F.lit(0)).unionByName(older.withColumn(SOURCE, F.lit(1)))
+    return merged if is_small else stage(merged, "merged")

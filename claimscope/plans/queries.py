@@ -188,13 +188,12 @@ def count_sets(picked: list[tuple[str, ...]], spark: SparkSession, sf_dir: str)
 
 def _tfidf(codes: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF / IDF of every claim of batch and history; logarithms to six places."""
-    pool = ClaimPool(keyed.merge_batch_history(*_pair(spark, sf_dir)))
-    values = pool.counts((), codes)
+    pool = ClaimPool(*_pair(spark, sf_dir), everything=True)
+    values = pool.tfidf(codes)
     tf = [f"{c}TF" for c in codes]
     logs = [n for c in codes for n in S.tfidf_names(c)[1:]]
-    ids = pool.batch.select("ClaimID", "Provider")
     rounded = [named(f"round({quoted(n)}, 6)", n) for n in logs]
-    return ids.join(values, ROW_ID, "left").selectExpr("ClaimID", "Provider", *tf, *rounded)
+    return values.selectExpr("ClaimID", "Provider", *tf, *rounded)
 
 
 # ------------------------------------------------------------ the feature frame

@@ -59,24 +59,20 @@ class ClaimScorer:
         return cls(fitted.levels, scaler, trees_fit.fit(training.select("features", LABEL)))
 
     def predict(
-        self,
-        batch: DataFrame,
-        history: DataFrame,
-        limits: Limits = Limits(),
-        history_unique: bool = False,
+        self, batch: DataFrame, history: DataFrame, limits: Limits = Limits()
     ) -> DataFrame:
         """``ClaimID`` and predicted label, one row per distinct batch claim."""
-        matrix = feature_matrix(
-            batch, history, self.levels, limits, history_unique, per_batch_row=False
-        )
+        matrix = feature_matrix(batch, history, self.levels, limits, per_batch_row=False)
         vectors = assemble(self.scaler.transform(matrix.frame), matrix.names)
         return self.model.transform(vectors).select(
             ROW_ID, F.col("prediction").cast("int").alias(S.PREDICTION)
         )
 
-    def score(self, sample: DataFrame, history: DataFrame, **options) -> DataFrame:
+    def score(
+        self, sample: DataFrame, history: DataFrame, limits: Limits = Limits()
+    ) -> DataFrame:
         """Every row of the sample with its prediction."""
-        predicted = stage(self.predict(sample, history, **options), "predictions")
+        predicted = stage(self.predict(sample, history, limits), "predictions")
         return skew_safe_join(sample, predicted, ROW_ID)
 
     def save(self, spark: SparkSession, path: str) -> None:

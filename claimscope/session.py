@@ -10,8 +10,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Shuffled joins hash instead of sort where every measured partition is this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # Methods the JVM would not compile are left out of whole-stage code.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # No call-site record per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
