@@ -77,7 +77,7 @@ def merge_batch_history(
         older = unique_rows(older, key, order_by, broadcast_rows)
     newer = unique_rows(batch, key, order_by, broadcast_rows)
     # A missing key equals a missing key here, as when keeping the first of both.
-    ids = batch.select(F.col(key).alias("_id"))
+    ids = newer.select(F.col(key).alias("_id"))
     is_small = batch.count() <= broadcast_rows
     ids = F.broadcast(ids) if is_small else ids
     older = older.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")

@@ -238,7 +238,9 @@ ORACLE: dict[str, str] = {
     "scan_pool": _with(_RAW, _BATCH_CLAIMS, _prepared("claims", "raw"))
     + f"SELECT {_cols(_MERGED_COLUMNS)} FROM claims",
     "scan_providers": "SELECT concat('PRV', s_suppkey) AS \"Provider\" FROM supplier",
-    "preview_merged": _INDEXED + "SELECT * FROM indexed WHERE row_index < 100",
+    "preview_merged": _ALL
+    + f"SELECT row_number() OVER (ORDER BY ClaimID) - 1 AS row_index, {_cols(_MERGED_COLUMNS)} "
+    "FROM claims ORDER BY ClaimID LIMIT 100",
     "count_rows": _ALL
     + "SELECT 'beneficiary' AS table_name, count(*) AS n_rows FROM beneficiary "
     "UNION ALL SELECT 'inpatient', count(*) FROM raw WHERE is_inpatient "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -30,27 +31,26 @@ SAMPLE_SEED = 42
 
 # ------------------------------------------------------------ sources and sinks
 def _as_csv(df: DataFrame, name: str) -> str:
-    path = f"{staging_root(df.sparkSession)}/csv-{name}-{df.sparkSession.sparkContext.applicationId}"
-    df.write.mode("overwrite").csv(path, header=True)
+    """The table as CSV files, for the CSV reader to read."""
+    path = f"{staging_root(df.sparkSession)}/csv-{name}-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True)
     return path
 
 
-def _csv_paths(tables, which: str, sf_dir: str) -> list[str]:
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    names = ("beneficiary", "inpatient", "outpatient")
-    return [_as_csv(t, f"{which}-{tag}-{n}") for t, n in zip(tables, names)]
+def _csv_paths(tables) -> list[str]:
+    return [_as_csv(t, n) for t, n in zip(tables, ("beneficiary", "inpatient", "outpatient"))]
 
 
 def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history tables from CSV: raw claims with their raw beneficiary."""
-    paths = _csv_paths(star.history_tables(spark, sf_dir), "history", sf_dir)
+    paths = _csv_paths(star.history_tables(spark, sf_dir))
     ben, inp, out = read_raw(spark, *paths)
     return prepare.join_beneficiaries(prepare.union_claims(inp, out), ben)
 
 
 def scan_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch pool from CSV: its merged table."""
-    paths = _csv_paths(star.batch_tables(spark, sf_dir), "pool", sf_dir)
+    paths = _csv_paths(star.batch_tables(spark, sf_dir))
     return load_claims(spark, *paths).claims
 
 
@@ -58,12 +58,12 @@ def scan_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = star.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("PRV"), F.col("s_suppkey").cast("string")).alias("Provider")
     )
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    return read_providers(spark, _as_csv(listed, f"providers-{tag}"))
+    return read_providers(spark, _as_csv(listed, "providers"))
 
 
 def preview_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.preview(_indexed(spark, sf_dir))
+    """The first hundred merged claims, all columns."""
+    return sampling.preview(sampling.with_row_index(prepared(spark, sf_dir, "all"), ["ClaimID"]))
 
 
 def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
