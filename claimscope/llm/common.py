@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimscope.sources.staging import stage, staging_root
 
-__all__ = ["byte_rows", "let", "load", "stage", "staging_root", "unused_name", "whole_text"]
+__all__ = ["byte_rows", "kept_in_worker", "let", "load", "stage", "staging_root", "unused_name", "whole_text"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,14 @@ def unused_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make()`` gave first in this Python worker; later tasks of the worker get the same object."""
+    store = sys.modules.setdefault("_kept_in_worker", ModuleType("_kept_in_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def byte_rows(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a text column, null as no bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import byte_rows, load, stage, staging_root, whole_text
+from claimscope.llm.common import byte_rows, kept_in_worker, load, stage, staging_root, whole_text
 
 MAGIC = b"DACIDS01"
 SEGMENT_TOKENS = 1 << 20
@@ -269,7 +269,7 @@ class WordEncoder:
         for text in texts:
             held.append(text if b"<|" in text else self._split(text))
             size += len(text)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield from self._encode(held)
                 held, size = [], 0
         yield from self._encode(held)
@@ -320,7 +320,7 @@ def write_codes(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = WordEncoder(tokenizer_path)
+                encoder = kept_in_worker(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
                 filesystem, inner = pafs.FileSystem.from_uri(path)
                 out = filesystem.open_output_stream(inner)
                 writer = CodeWriter(out)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from claimscope.llm.direct_codes import op10_direct_codes
+from claimscope.llm.piece_codec import op6_piece_codec
 
 QUERIES = {
+    "op6_piece_codec": op6_piece_codec,
     "op10_direct_codes": op10_direct_codes,
 }
 
