@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from claimscope.llm.common import kept_in_worker, load, unused_name
 
 #: Matches that one task remembers the ids of; later ones are encoded anew each time.
-REMEMBERED_MATCHES = 700_000
+REMEMBERED_MATCHES = 400_000
 #: Characters of sentencepiece's own white-space mark, which no byte may be mapped to.
 FIRST_MAPPED = 0x100
 
@@ -92,7 +93,7 @@ class PieceCodec:
         self._known: dict[str, bytes] = {}
 
     def _learn(self, matches: list[str]) -> dict[str, bytes]:
-        """Ids of matches; one that is a token as a whole is that token, as a rank encoder has it."""
+        """Pieces of matches; one that is a token as a whole is that token, as a rank encoder has it."""
         found = {}
         rest = []
         for match in matches:
@@ -101,14 +102,14 @@ class PieceCodec:
             if rank is None:
                 rest.append((match, data.decode("latin-1").translate(self._alphabet)))
             else:
-                found[match] = struct.pack("<I", rank)
+                found[match] = struct.pack("<I", rank + 1)
         encoded = self._model.encode([mapped for _, mapped in rest], num_threads=1) if rest else []
         for (match, _), ids in zip(rest, encoded, strict=True):
-            found[match] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
+            found[match] = array("I", ids).tobytes()
         return found
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian 32-bit integers."""
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         known, find = self._known, self._find
         at = 0
         while at < len(texts):
@@ -124,7 +125,8 @@ class PieceCodec:
                 if len(match) <= 40:
                     known[match] = ids
             for matches in held:
-                yield b"".join([known[m] if m in known else learnt[m] for m in matches])
+                pieces = b"".join([known.get(m) or learnt[m] for m in matches])
+                yield np.frombuffer(pieces, np.uint32).astype(np.int32) - 1
             at = stop
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -158,8 +160,8 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
                     size += len(texts[stop])
                     stop += 1
                 rows = list(codec.encode_many(texts[start:stop]))
-                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
+                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                values = pa.array(np.concatenate(rows))
                 column = pa.ListArray.from_arrays(pa.array(offsets), values)
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=names)
@@ -177,7 +179,9 @@ def decode_ids(docs: DataFrame, rank_path: str, ids: str = "ids", out: str = "de
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept_in_worker(("ranks", rank_path), lambda: read_ranks(rank_path))
         for batch in batches:
-            texts = [b"".join([tokens[i] for i in row or ()]) for row in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            texts = [b"".join([tokens[i] for i in values[a:b].tolist()]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=names)
 
     return docs.mapInArrow(decode, _with_column(docs, out, T.BinaryType()))
