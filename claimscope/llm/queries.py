@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from claimscope.llm.char_tagger import op9_char_tagger
 from claimscope.llm.direct_codes import op10_direct_codes
 from claimscope.llm.piece_codec import op6_piece_codec
 
 QUERIES = {
+    "op9_char_tagger": op9_char_tagger,
     "op6_piece_codec": op6_piece_codec,
     "op10_direct_codes": op10_direct_codes,
 }
