@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimscope.sources.staging import stage, staging_root
 
-__all__ = ["byte_rows", "kept_in_worker", "let", "load", "stage", "staging_root", "unused_name", "whole_text"]
+__all__ = ["bounded_batches", "byte_rows", "kept_in_worker", "let", "load", "stage", "staging_root", "unused_name", "whole_text"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get long texts in batches that fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def whole_text(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
