@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import kept_in_worker, load, unused_name
+from claimscope.llm.common import bounded_batches, kept_in_worker, load, unused_name
 
 #: Matches that one task remembers the ids of; later ones are encoded anew each time.
-REMEMBERED_MATCHES = 400_000
+REMEMBERED_MATCHES = 250_000
 #: Characters of sentencepiece's own white-space mark, which no byte may be mapped to.
 FIRST_MAPPED = 0x100
 
@@ -191,6 +191,7 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes decoded from them."""
     import public_tokenizers
 
+    bounded_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
