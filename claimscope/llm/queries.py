@@ -6,14 +6,19 @@ from claimscope.llm.char_tagger import op9_char_tagger
 from claimscope.llm.byte_index import op2_byte_index
 from claimscope.llm.direct_codes import op10_direct_codes
 from claimscope.llm.piece_codec import op6_piece_codec
+from claimscope.llm.risk_rules import ORACLE_SQL as RISK_RULES_SQL
+from claimscope.llm.risk_rules import op8_risk_rules
 from claimscope.llm.seed_align import op1_seed_align
 
 QUERIES = {
     "op1_seed_align": op1_seed_align,
     "op2_byte_index": op2_byte_index,
+    "op8_risk_rules": op8_risk_rules,
     "op9_char_tagger": op9_char_tagger,
     "op6_piece_codec": op6_piece_codec,
     "op10_direct_codes": op10_direct_codes,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op8_risk_rules": RISK_RULES_SQL,
+}
