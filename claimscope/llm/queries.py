@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from claimscope.llm.char_tagger import op9_char_tagger
+from claimscope.llm.archives import op7_archives
+from claimscope.llm.bounded_ring import op4_bounded_ring
 from claimscope.llm.byte_index import op2_byte_index
+from claimscope.llm.char_tagger import op9_char_tagger
 from claimscope.llm.direct_codes import op10_direct_codes
+from claimscope.llm.main_text import op3_main_text
 from claimscope.llm.piece_codec import op6_piece_codec
+from claimscope.llm.reply_trees import op5_reply_trees
 from claimscope.llm.risk_rules import ORACLE_SQL as RISK_RULES_SQL
 from claimscope.llm.risk_rules import op8_risk_rules
 from claimscope.llm.seed_align import op1_seed_align
@@ -13,12 +17,17 @@ from claimscope.llm.seed_align import op1_seed_align
 QUERIES = {
     "op1_seed_align": op1_seed_align,
     "op2_byte_index": op2_byte_index,
+    "op3_main_text": op3_main_text,
+    "op4_bounded_ring": op4_bounded_ring,
+    "op5_reply_trees": op5_reply_trees,
+    "op6_piece_codec": op6_piece_codec,
+    "op7_archives": op7_archives,
     "op8_risk_rules": op8_risk_rules,
     "op9_char_tagger": op9_char_tagger,
-    "op6_piece_codec": op6_piece_codec,
     "op10_direct_codes": op10_direct_codes,
 }
 
+# The others have no SQL: hashes, tokenizers, HTML, archives, trained networks. tests/llm holds them against brute force.
 ORACLE = {
     "op8_risk_rules": RISK_RULES_SQL,
 }
