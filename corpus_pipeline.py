@@ -4,10 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm.common import load, stage
+from claimscope.llm.byte_index import without_near_duplicates
+from claimscope.llm.char_tagger import fit_tagger, mask_personal_data
+from claimscope.llm.common import bounded_batches, load, stage
+from claimscope.llm.piece_codec import encode_texts
+from claimscope.llm.risk_rules import kept_documents
+from claimscope.llm.seed_align import without_contaminated
 
-STAGES: list = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the risk-controlled rules keep."""
+    return kept_documents(docs, load(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of SimHash near-duplicates."""
+    bounded_batches(spark)
+    return without_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
+    return without_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    bounded_batches(spark)
+    return mask_personal_data(docs, fit_tagger(docs))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, ids`` of each document."""
+    import public_tokenizers
+
+    bounded_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_texts(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("token_ids", token_ids),
+]
+
+# The network and the tokenizer have no SQL; tests/llm compares the rows with a plain Python version.
 ORACLE_SQL = None
 
 
