@@ -113,18 +113,18 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), _shares(F.col(text)).alias("shares"))
     held = rows.join(good.select("doc_id"), "doc_id", "left_semi")
-    over = [F.sum(F.when(F.col("shares")[r] > cut, 1).otherwise(0)).alias(f"k{r}_{c}") for r in range(len(RULES)) for c, cut in enumerate(GRID)]
+    tests = [(r, c, cut) for r in range(len(RULES)) for c, cut in enumerate(GRID)]
+    over = [F.expr(f"count_if(shares[{r}] > {cut}D) AS k{r}_{c}") for r, c, cut in tests]
     counts = stage(held.groupBy("stratum").agg(F.count("*").alias("n"), *over), "strata")
     level = F.lit(ERROR) / (len(RULES) * F.lit(max(counts.count(), 1)))
-    n = F.col("n").cast("double")
-    chosen = []
-    for r in range(len(RULES)):
-        # The number of cutoffs from the first one on that all pass.
-        passes = F.array(*[binomial_tail(n, F.col(f"k{r}_{c}").cast("double"), RISK) <= level for c in range(len(GRID))])
-        count = F.coalesce(F.nullif(F.array_position(passes, False), F.lit(0)), F.lit(len(GRID) + 1)) - 1
-        cuts = F.array(*[F.lit(c) for c in GRID])
-        chosen.append(F.when(count > 0, F.get(cuts, (count - 1).cast("int"))))
-    return stage(counts.select("stratum", F.array(*chosen).alias("cutoffs")), "cutoffs")
+    each = F.expr("array(" + ", ".join(f"struct({r} AS r, {c} AS c, {cut}D AS cut, k{r}_{c} AS k)" for r, c, cut in tests) + ")")
+    rows = counts.select("stratum", F.col("n").cast("double").alias("n"), F.explode(each).alias("t")).select("stratum", "n", "t.*")
+    rows = rows.withColumn("passed", binomial_tail(F.col("n"), F.col("k").cast("double"), RISK) <= level)
+    # The cutoffs from the first one on that all pass; the last of them is chosen.
+    walk = rows.groupBy("stratum", "r").agg(F.sort_array(F.collect_list(F.struct("c", "cut", "passed"))).alias("walk"))
+    cut = F.expr(f"get(walk.cut, coalesce(array_min(filter(walk, x -> NOT x.passed).c), {len(GRID)}) - 1)")
+    chosen = walk.select("stratum", "r", cut.alias("cut")).groupBy("stratum")
+    return stage(chosen.agg(F.sort_array(F.collect_list(F.struct("r", "cut"))).alias("by_rule")).select("stratum", F.expr("by_rule.cut").alias("cutoffs")), "cutoffs")
 
 
 def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
