@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE_FORMAT = "yyyy-MM-dd"
+# Takes months and days with and without a leading zero.
+DATE_FORMAT = "yyyy-M-d"
 # Last date of the beneficiary data: age is taken here when there is no death date.
 AGE_REFERENCE_DATE = "2009-12-01"
 PREFIX_LENGTH = 2
@@ -39,7 +40,7 @@ def renal_flag(indicator: Column) -> Column:
 def strict_date(text: Column) -> Column:
     """Date from text; text in another form fails the job, with ANSI mode on or off."""
     parsed = F.try_to_date(text, DATE_FORMAT)
-    message = F.concat(F.lit("not a yyyy-MM-dd date: "), text.cast("string"))
+    message = F.concat(F.lit("not a year-month-day date: "), text.cast("string"))
     return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(message).cast("date")).otherwise(
         parsed
     )

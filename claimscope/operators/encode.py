@@ -11,18 +11,19 @@ from pyspark.sql.types import NumericType
 from claimscope.functions.claims import named, quoted
 from claimscope.schemas import onehot_name
 
-MAX_LEVELS = 1000
 
-
-def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict:
-    """Sorted distinct values per column; more than ``max_levels`` is an error."""
-    levels = {}
-    for column in columns:
-        seen = df.select(column).filter(F.col(column).isNotNull()).distinct()
-        found = [row[0] for row in seen.limit(max_levels + 1).collect()]
-        if len(found) > max_levels:
+def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> dict:
+    """Sorted distinct values per column, in one job; more than ``max_levels``, if given, is an error."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    seen = df.select(F.explode(pairs).alias("p")).select("p.*").filter("value IS NOT NULL").distinct()
+    typed = [F.when(F.col("column") == c, F.col("value")).cast(df.schema[c].dataType).alias(c) for c in columns]
+    levels = {c: [] for c in columns}
+    for row in seen.select("column", *typed).collect():
+        levels[row["column"]].append(row[row["column"]])
+    for column, found in levels.items():
+        if max_levels is not None and len(found) > max_levels:
             raise ValueError(f"{column} has more than {max_levels} levels")
-        levels[column] = sorted(found)
+        found.sort()
     return levels
 
 

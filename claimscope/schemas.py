@@ -93,27 +93,6 @@ BASE_NUMERICS = [
 ]
 CATEGORIES = ["Gender", "Race"]
 
-# Columns that carry no number of their own into the feature matrix.
-NON_FEATURES = [
-    "BeneID",
-    "ClaimID",
-    "ClaimStartDt",
-    "ClaimEndDt",
-    "Provider",
-    *PHYSICIANS,
-    "AdmissionDt",
-    "ClmAdmitDiagnosisCode",
-    "DischargeDt",
-    "DiagnosisGroupCode",
-    *DIAGNOSIS_CODES,
-    *PROCEDURE_CODES,
-    "DOB",
-    "DOD",
-    "State",
-    "County",
-    *CATEGORIES,
-]
-
 # ------------------------------------------------------------- mean families
 _ALL_MONEY = [
     "InscClaimAmtReimbursed",
