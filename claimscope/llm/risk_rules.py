@@ -23,6 +23,8 @@ GRID = (0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01, 0.005)
 RULES = ("symbols", "capitals", "exclamations", "repeated_lines")
 #: Rows up to which the table of cutoffs is broadcast; above it is joined by a shuffle.
 BROADCAST_STRATA = 10_000
+#: Labelled documents up to which their ids are broadcast (16 MB); above it they are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 _SYMBOLS = "[#*$%&|<>]"
 _SPACE = r"[\x09-\x0D]"
 
@@ -36,48 +38,81 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _shares(text: Column) -> Column:
-    """The values of the learned rules, in the order of RULES."""
-    chars = F.greatest(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit(1))
-    counts = [_count(text, _SYMBOLS), _count(text, "[A-Z]"), _count(text, "!")]
-    lines = let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))) / F.greatest(F.size(x), F.lit(1)))
-    return F.array(*[c / chars for c in counts], lines)
-
-
 def _repeated_words(words: Column) -> Column:
     """Words within three-word windows that are found twice or more; windows are told apart by a 64-bit hash of their words.
 
-    Windows are sorted by hash, those equal to a neighbour are kept, and the stretches they cover are summed.
+    Most texts repeat no window, which a set of their hashes shows. For the others the hashes, their last bits replaced by the position, are
+    sorted as plain numbers; the few with an equal neighbour are compared again by the whole hash, and the stretches they cover are summed.
     """
+    windows = F.transform(
+        F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)),
+    )
 
-    def windows(w: Column) -> Column:
-        return F.transform(
-            F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
+    def near(h: Column, places: Column) -> Column:
+        def alike(s: Column) -> Column:
+            heads = lambda x, y: F.coalesce(x.bitwiseOR(places) == y.bitwiseOR(places), F.lit(False))
+            kept = F.filter(s, lambda x, j: heads(x, F.get(s, j + 1)) | heads(x, F.get(s, j - 1)))
+            return F.transform(kept, lambda x: x.bitwiseAND(places).cast("int"))
+
+        packed = F.transform(h, lambda x, i: x.bitwiseOR(places).bitwiseXOR(places).bitwiseOR(i.cast("long")))
+        return let(F.sort_array(packed), alike)
 
     def twice(s: Column) -> Column:
-        return F.filter(s, lambda x, j: (F.get(s, j + 1)["h"] == x["h"]).eqNullSafe(True) | ((j > 0) & (F.get(s, F.greatest(j - 1, F.lit(0)))["h"] == x["h"])))
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        kept = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
+        return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         steps = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
         return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
-    return let(F.sort_array(windows(words)), lambda s: let(F.sort_array(F.transform(twice(s), lambda x: x["i"])), covered))
+    def repeated(h: Column) -> Column:
+        places = F.pow(F.lit(2.0), F.length(F.bin(F.size(h).cast("long")))).cast("long") - 1
+        found = let(places, lambda m: near(h, m))
+        pairs = let(found, lambda at: F.sort_array(F.transform(at, lambda i: F.struct(F.get(h, i).alias("h"), i.alias("i")))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(let(pairs, twice), covered)).otherwise(F.lit(0))
+
+    return let(windows, repeated)
 
 
-def _measures(text: Column) -> Column:
-    """The base measures of a text as one struct."""
+def _measures(text: Column) -> dict[str, Column]:
+    """The measures of a text: counts of characters, and two structs of its words and of its lines."""
     plain = F.regexp_replace(text, _SPACE, " ")
 
     def of_words(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _repeated_words(words).cast("long").alias("n_repeat_words"),
         )
 
-    return let(F.array_remove(F.split(plain, " "), ""), of_words)
+    def of_lines(lines: Column) -> Column:
+        return F.struct(F.size(lines).cast("long").alias("n"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
+
+    return {
+        "word_chars": F.length(F.replace(plain, F.lit(" "), F.lit(""))).cast("long"),
+        "words": let(F.array_remove(F.split(plain, " "), ""), of_words),
+        "lines": let(_lines(text), of_lines),
+        "symbols": _count(text, _SYMBOLS).cast("long"),
+        "capitals": _count(text, "[A-Z]").cast("long"),
+        "exclamations": (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long"),
+    }
+
+
+def _measured(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with the measures in new columns, and these columns by measure."""
+    names = {}
+    for name, value in _measures(text).items():
+        names[name] = unused_name(docs, f"_{name}")
+        docs = docs.withColumn(names[name], value)
+    return docs, {name: F.col(f"`{column}`") for name, column in names.items()}
+
+
+def _shares(m: dict[str, Column]) -> list[Column]:
+    """The values of the learned rules, in the order of RULES."""
+    chars = F.greatest(m["word_chars"], F.lit(1))
+    lines = m["lines"]
+    return [m[c] / chars for c in RULES[:3]] + [(lines["n"] - lines["n_distinct"]) / F.greatest(lines["n"], F.lit(1))]
 
 
 def _log_factorial(n: Column) -> Column:
@@ -110,9 +145,17 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     Documents with a null stratum are a stratum of their own. All labelled documents are used.
     """
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    good = stage(good.select("doc_id"), "good")
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), _shares(F.col(text)).alias("shares"))
-    held = rows.join(good.select("doc_id"), "doc_id", "left_semi")
+    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
+    few = good.count() <= BROADCAST_LABELS
+    if few:
+        rows = rows.join(F.broadcast(good), "doc_id", "left_semi")
+    rows, m = _measured(rows, F.col("text"))
+    # The values are written before they are compared with all cutoffs; beyond few labels only they are shuffled, not texts.
+    held = stage(rows.select("doc_id", "stratum", F.array(*_shares(m)).alias("shares")), "shares")
+    if not few:
+        held = held.join(good, "doc_id", "left_semi")
     tests = [(r, c, cut) for r in range(len(RULES)) for c, cut in enumerate(GRID)]
     over = [F.expr(f"count_if(shares[{r}] > {cut}D) AS k{r}_{c}") for r, c, cut in tests]
     counts = stage(held.groupBy("stratum").agg(F.count("*").alias("n"), *over), "strata")
@@ -135,22 +178,22 @@ def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", text: str
     if unused_name(docs, "quality_rules") != "quality_rules":
         raise ValueError("there is a column quality_rules already")
     few = cutoffs.count() <= BROADCAST_STRATA
-    table = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
+    key, value = unused_name(docs, "_stratum"), unused_name(docs, "_cutoffs")
+    table = cutoffs.select(F.col("stratum").alias(key), F.col("cutoffs").alias(value))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.join(F.broadcast(table) if few else table, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left")
-    rows = rows.withColumn("_measures", _measures(body)).withColumn("_shares", _shares(body))
-    m = F.col("_measures")
-    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    rows = docs.join(F.broadcast(table) if few else table, F.col(stratum).cast("string").eqNullSafe(F.col(key)), "left")
+    rows, m = _measured(rows, body)
+    words = m["words"]
+    failed = (words["n_words"] < 50) | (100 * words["n_repeat_words"] > 50 * words["n_words"])
     refused = F.lit(False)
-    for r in range(len(RULES)):
-        refused = refused | F.coalesce(F.col("_shares")[r] > F.col("_cutoffs")[r], F.lit(False))
-    lines = let(_lines(body), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    for r, share in enumerate(_shares(m)):
+        refused = refused | F.coalesce(share > F.col(value)[r], F.lit(False))
     rules = F.struct(
-        m["n_words"].alias("n_words"),
+        words["n_words"].alias("n_words"),
         m["word_chars"].alias("word_chars"),
-        _count(body, _SYMBOLS).cast("long").alias("n_symbols"),
-        lines.alias("n_dup_lines"),
-        m["n_repeat_words"].alias("n_repeat_words"),
+        m["symbols"].alias("n_symbols"),
+        (m["lines"]["n"] - m["lines"]["n_distinct"]).alias("n_dup_lines"),
+        words["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & ~refused).alias("kept"),
     )
@@ -159,7 +202,11 @@ def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", text: str
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that all rules keep, with their columns."""
-    return judged(docs, fit_cutoffs(docs, labels)).where("quality_rules.kept").drop("quality_rules")
+    rows = judged(docs, fit_cutoffs(docs, labels))
+    # A filter would move below the measures and work them out a second time; a list of one or no element does not.
+    once = unused_name(rows, "_once")
+    kept = rows.withColumn(once, F.explode(F.expr("if(quality_rules.kept, array(1), array())")))
+    return kept.drop("quality_rules", once)
 
 
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
