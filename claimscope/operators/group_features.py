@@ -24,6 +24,12 @@ from claimscope.sources.staging import stage
 
 ROW_ID = "ClaimID"
 IN_BATCH = "in_batch"
+HAS_ID = "has_id"
+
+
+def has_id() -> Column:
+    """Whether a claim counts: one without an id gets its group's count but adds nothing to it."""
+    return F.col(ROW_ID).isNotNull()
 
 
 # ------------------------------------------------------------- one key set
@@ -62,10 +68,9 @@ def group_count(
 # ----------------------------------------------------------- many key sets
 @dataclass(frozen=True)
 class KeySet:
-    """One grouping: key columns, and a column that must be non-null to take part."""
+    """One grouping by its key columns."""
 
     keys: tuple[str, ...]
-    requires: str | None = None
 
 
 class KeyPlan:
@@ -83,8 +88,6 @@ class KeyPlan:
 
     def _entry(self, set_id: int, key_set: KeySet) -> str:
         parts = [f"CAST({quoted(k)} AS STRING)" for k in key_set.keys]
-        if key_set.requires is not None:
-            parts[0] = f"CASE WHEN {quoted(key_set.requires)} IS NOT NULL THEN {parts[0]} END"
         # Within a set all tuples have the same padding, so '' cannot clash with a key.
         parts += ["''"] * (len(self.parts) - len(parts))
         fields = ", ".join(f"'{n}', {p}" for n, p in zip(self.parts, parts))
@@ -134,7 +137,7 @@ def _direct_sets(table: DataFrame, plan: KeyPlan, budget: int) -> list[int]:
     sizes = table.groupBy("set_id").count().orderBy("count", "set_id").collect()
     chosen = []
     for set_id, size in sizes:
-        if len(plan.sets[set_id].keys) == 1 and plan.sets[set_id].requires is None:
+        if len(plan.sets[set_id].keys) == 1:
             budget -= size
             if budget < 0:
                 break
@@ -153,7 +156,7 @@ def attach(
 ) -> tuple[DataFrame, dict[int, str]]:
     """``rows`` with the group values of ``table``, and SQL text for each set's value.
 
-    ``rows`` has unique claim ids. Single-key sets counted to be small are broadcast and
+    ``rows`` has unique claim ids, of which one may be NULL. Single-key sets counted to be small are broadcast and
     joined map side. The others are looked up as thin rows and folded into one map per
     claim, which has at most one entry per key set. New columns start with ``prefix``.
     A value is NULL for a claim without the complete key.
@@ -189,7 +192,10 @@ def attach(
     )
     for set_id in others:
         texts[set_id] = f"try_element_at({prefix}_map, {set_id})"
-    return wide.join(folded, ROW_ID, "left"), texts
+    # The one claim without an id finds its own values, as in the direct joins.
+    folded = folded.withColumnRenamed(ROW_ID, f"{prefix}_id")
+    same_id = F.col(ROW_ID).eqNullSafe(F.col(f"{prefix}_id"))
+    return wide.join(folded, same_id, "left").drop(f"{prefix}_id"), texts
 
 
 def group_counts(
@@ -199,9 +205,9 @@ def group_counts(
 
     ``key_sets`` maps each output column to its key columns.
     """
-    plan = KeyPlan([KeySet(tuple(k), ROW_ID) for k in key_sets.values()])
-    marked = claims.withColumn(IN_BATCH, F.lit(True))
-    table = keyed_table(marked, plan, {"n": F.count(F.lit(1))}, "n")
+    plan = KeyPlan([KeySet(tuple(k)) for k in key_sets.values()])
+    marked = claims.withColumns({IN_BATCH: F.lit(True), HAS_ID: has_id()})
+    table = keyed_table(marked, plan, {"n": F.count_if(HAS_ID)}, "n", [HAS_ID])
     found, texts = attach(claims, table, plan, claims.count(), "_count", **limits)
     counts = [named(texts[i], name) for i, name in enumerate(key_sets)]
     return found.selectExpr(*map(quoted, claims.columns), *counts)

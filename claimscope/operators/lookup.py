@@ -79,3 +79,23 @@ def skew_safe_join(
     weighted = stage(table.join(counts, key), "weighted")
     total = weighted.agg(F.sum("_rows")).first()[0] or 0
     return lookup_join(rows, weighted, [key], "_rows", total, how, share, broadcast_rows=0)
+
+
+def id_join(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    share: float = HOT_SHARE,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Left ``skew_safe_join`` in which a missing key equals a missing key.
+
+    ``table`` is a written table with one row per key, so at most one without; that row is broadcast.
+    """
+    found = skew_safe_join(
+        rows.filter(has_key([key])), table, key, share=share, broadcast_rows=broadcast_rows
+    )
+    missing = table.filter(~has_key([key])).withColumnRenamed(key, "_id")
+    same = F.col(key).eqNullSafe(F.col("_id"))
+    rest = rows.filter(~has_key([key])).join(F.broadcast(missing), same, "left").drop("_id")
+    return found.unionByName(rest)

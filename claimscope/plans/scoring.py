@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimscope import schemas as S
 from claimscope.operators.keyed import keep_first
-from claimscope.operators.lookup import skew_safe_join
+from claimscope.operators.lookup import id_join, skew_safe_join
 from claimscope.operators.scale import Scaler, fit_scaler
 from claimscope.plans.features import ROW_ID, Limits, feature_matrix
 from claimscope.sources.staging import stage, use_checkpoint_dir
@@ -73,7 +73,7 @@ class ClaimScorer:
     ) -> DataFrame:
         """Every row of the sample with its prediction."""
         predicted = stage(self.predict(sample, history, limits), "predictions")
-        return skew_safe_join(sample, predicted, ROW_ID)
+        return id_join(sample, predicted, ROW_ID)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.scaler.save(spark, f"{path}/scaler")
