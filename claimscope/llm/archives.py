@@ -1,7 +1,7 @@
 """WARC archives written and read by Spark, with record boundaries verified by their chain.
 
 Writing: one record per page. Of pages with equal payloads the one with the largest id is a response, the others are revisits of it.
-Reading: files are split anywhere; every occurrence of the magic starts a candidate record, also inside a payload. A candidate's header
+Reading: plain files are split anywhere, gzip files (as written here) are read by a task each; every occurrence of the magic starts a candidate record, also inside a payload. A candidate's header
 gives the offset of its successor. A record is real if it is reached from the start of its file along these
 offsets; the reachable ones are found by pointer jumping, in as many rounds as the logarithm of the longest chain.
 """
@@ -21,6 +21,8 @@ END = "\r\n\r\n"
 LEAST_BYTES = 1000
 #: Broken-up records up to which their list is broadcast.
 BROADCAST_ROWS = 50_000
+#: Groups of equal payloads up to which their keepers are broadcast (about 25 MB); beyond it payloads are shuffled by digest.
+BROADCAST_GROUPS = 200_000
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -28,7 +30,9 @@ def page_records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"), F.sha1(payload.cast("binary")).alias("digest"))
     groups = rows.where(F.col("n") >= LEAST_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-    rows = rows.join(groups.where("copies > 1").drop("copies"), ["digest", "n"], "left")
+    groups = stage(groups.where("copies > 1").drop("copies"), "copies")
+    few = groups.count() <= BROADCAST_GROUPS
+    rows = rows.join(F.broadcast(groups) if few else groups, ["digest", "n"], "left")
     refers = F.when(F.col("page_id") < F.col("keeper"), F.col("keeper"))
     first = refers.isNull()
     block = F.when(first, F.col("payload")).otherwise("")
@@ -57,13 +61,13 @@ def page_records(pages: DataFrame) -> DataFrame:
     return rows.select(record.alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, most_records: int = 50_000) -> None:
-    """Write ``page_id, url, html`` as archives of at most ``most_records`` records each.
+def write_archives(pages: DataFrame, folder: str, most_records: int = 20_000) -> None:
+    """Write ``page_id, url, html`` as gzip archives of at most ``most_records`` records each.
 
     A null ``html`` is an empty payload. A page without an id is always a response. Repeated rows of a payload's largest id are all
     responses, since one page cannot refer to itself. Line breaks in an address become a space. Other columns are not read.
     """
-    writer = page_records(pages).write.option("lineSep", END).option("maxRecordsPerFile", most_records)
+    writer = page_records(pages).write.option("lineSep", END).option("maxRecordsPerFile", most_records).option("compression", "gzip")
     writer.text(folder)
 
 
@@ -103,6 +107,12 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Candidates with their offset ``at``, without what stands before the first magic of a file."""
+    before = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("at", F.sum(F.col("n_bytes") + len(MAGIC)).over(before) - len(MAGIC)).where("at IS NOT NULL")
+
+
 def reachable(links: DataFrame) -> DataFrame:
     """Of ``file, at, next`` the ``file, at`` on the chain that starts at 0, by pointer jumping."""
     nodes = stage(links.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("reached")), "chain")
@@ -124,16 +134,13 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     Length and digest of a response are those of the block that was read; a revisit has no block and states them. A file that does not start
     with a record has none. A record that is cut off by the end of its file has a digest of what is there.
     """
-    rows = stage(candidates(spark, folder), "candidates")
-    before = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    narrow = rows.drop("value").withColumn("at", F.sum(F.col("n_bytes") + len(MAGIC)).over(before) - len(MAGIC))
-    narrow = stage(narrow.where("at IS NOT NULL"), "offsets")
+    narrow = stage(_placed(candidates(spark, folder).drop("value")), "offsets")
     onward = F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("length") + len(END)
     real = reachable(narrow.select("file", "at", onward.alias("next")))
     marked = narrow.join(real.withColumn("real", F.lit(True)), ["file", "at"], "left")
     records = marked.where("real").drop("real")
     broken = records.where("own_digest IS NULL AND length IS NOT NULL").select("file", "at")
-    records = records.join(_gathered(rows, marked, broken), ["file", "at"], "left") if broken.count() else records.withColumn("gathered", F.lit(None).cast("string"))
+    records = records.join(_gathered(spark, folder, marked, broken), ["file", "at"], "left") if broken.count() else records.withColumn("gathered", F.lit(None).cast("string"))
     response = F.col("record_type") != "revisit"
     return records.select(
         "page_id",
@@ -144,13 +151,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _gathered(rows: DataFrame, marked: DataFrame, broken: DataFrame) -> DataFrame:
-    """Digests of records whose block holds the magic: the block is put together from the candidates inside it."""
+def _gathered(spark: SparkSession, folder: str, marked: DataFrame, broken: DataFrame) -> DataFrame:
+    """Digests of records whose block holds the magic: the block is put together from the candidates inside it.
+
+    Their texts are read again from the files that have such records, and found by their offsets.
+    """
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.select("file", "at", "block", "nth", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(upto).alias("owner"))
+    owned = marked.select("file", "at", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(upto).alias("owner"))
     parts = stage(owned.join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi"), "broken-records")
     few = parts.count() <= BROADCAST_ROWS
-    parts = rows.select("file", "block", "nth", "head_bytes", "length", "value").join(F.broadcast(parts) if few else parts, ["file", "block", "nth"])
+    files = parts.select("file").distinct()
+    rows = candidates(spark, folder).select("file", "block", "nth", "n_bytes", "head_bytes", "length", "value")
+    rows = _placed(rows.join(F.broadcast(files) if few else files, "file", "left_semi"))
+    parts = rows.select("file", "at", "head_bytes", "length", "value").join(F.broadcast(parts) if few else parts, ["file", "at"])
     whole = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value", "head_bytes", "length"))).alias("parts"))
     first = F.element_at("parts", 1)
     text = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
