@@ -50,6 +50,12 @@ def preview(df: DataFrame, n: int = 100, order_by: Sequence[str] = (ROW_INDEX,))
     return df.orderBy(*order_by).limit(n)
 
 
+def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 100) -> DataFrame:
+    """The first ``n`` rows in the total order ``order_by``, numbered; a top-k that leaves the rest unsorted."""
+    position = F.row_number().over(Window.orderBy(*order_by)).cast("long") - 1
+    return preview(df, n, order_by).select(position.alias(ROW_INDEX), *df.columns)
+
+
 def row_count(df: DataFrame) -> int:
     return df.count()
 

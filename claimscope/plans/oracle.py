@@ -77,6 +77,7 @@ _CLAIM_PREPARED = {
     "AdmitForDays": "CAST(CAST(DischargeDt AS DATE) - CAST(AdmissionDt AS DATE) + 1 AS INTEGER)",
 }
 _CLAIM_COLUMNS = list(_CLAIM_PREPARED)
+_NUMERIC = [*S.BASE_NUMERICS, *S.CATEGORIES, "State", "County"]
 _MERGED_COLUMNS = _CLAIM_COLUMNS + [n for n in _BEN_PREPARED if n != "BeneID"]
 
 
@@ -200,11 +201,18 @@ _SCALED_CTES = [
     {_select(_FLAG_EXPRS)}
   FROM merged)""",
     f"matrix AS (SELECT ClaimID, {_select(_FILLED)} FROM featured WHERE src_priority = 0)",
+    # The history alone, as when the scaler is fitted.
+    f"""past_featured AS (
+  SELECT ClaimID, {_cols(S.BASE_NUMERICS)},
+    {_select(_SCALE_EXPRS)},
+    {_select(_FLAG_EXPRS)}
+  FROM merged)""".replace("FROM merged", "FROM history"),
+    f"past AS (SELECT {_select(_FILLED)} FROM past_featured)",
     "fitted AS (SELECT "
     + ", ".join(
         f"avg({_q(n)}) AS {_q('m_' + n)}, stddev_pop({_q(n)}) AS {_q('s_' + n)}" for n in _FEATURES
     )
-    + " FROM matrix)",
+    + " FROM past)",
 ]
 _SCALED = {
     n: f"round(({_q(n)} - {_q('m_' + n)}) / "
@@ -213,7 +221,7 @@ _SCALED = {
 }
 
 # --------------------------------------------------------------------- sampling
-_SAMPLED = _cols(Q._SAMPLED)
+_SAMPLED = _cols(_MERGED_COLUMNS)
 _INDEXED = _with(
     _RAW,
     _ALL_CLAIMS,
@@ -241,6 +249,18 @@ ORACLE: dict[str, str] = {
     "preview_merged": _ALL
     + f"SELECT row_number() OVER (ORDER BY ClaimID) - 1 AS row_index, {_cols(_MERGED_COLUMNS)} "
     "FROM claims ORDER BY ClaimID LIMIT 100",
+    "preview_beneficiary": _with(_RAW)
+    + f"SELECT row_number() OVER (ORDER BY BeneID) - 1 AS row_index, {_cols(f.name for f in S.BENEFICIARY)} "
+    "FROM beneficiary ORDER BY BeneID LIMIT 100",
+    **{
+        f"preview_{kind}": _with(_RAW, _ALL_CLAIMS)
+        + f"SELECT row_number() OVER (ORDER BY ClaimID) - 1 AS row_index, {_cols(f.name for f in fields)} "
+        + f"FROM raw WHERE {test} ORDER BY ClaimID LIMIT 100"
+        for kind, fields, test in (
+            ("inpatient", S.INPATIENT, "is_inpatient"),
+            ("outpatient", S.OUTPATIENT, "NOT is_inpatient"),
+        )
+    },
     "count_rows": _ALL
     + "SELECT 'beneficiary' AS table_name, count(*) AS n_rows FROM beneficiary "
     "UNION ALL SELECT 'inpatient', count(*) FROM raw WHERE is_inpatient "
@@ -266,20 +286,21 @@ ORACLE: dict[str, str] = {
     "+ 1 AS INTEGER) AS AdmitForDays FROM raw WHERE is_inpatient",
     "union_claims": _with(_RAW, _ALL_CLAIMS) + f"SELECT {_select(_CLAIM_PREPARED)} FROM raw",
     "claims_join": _with(_RAW, _ALL_CLAIMS)
-    + "SELECT ClaimID, BeneID, Provider, Gender, Race, DOB, State, County "
-    "FROM raw JOIN beneficiary USING (BeneID)",
+    + f"SELECT {_cols(f.name for f in S.INPATIENT)}, "
+    + f"{_cols(f.name for f in S.BENEFICIARY if f.name != 'BeneID')} "
+    + "FROM raw JOIN beneficiary USING (BeneID)",
     "prepare_claims": _ALL + f"SELECT {_cols(_MERGED_COLUMNS)} FROM claims",
     "batch_history_union": _PAIR
-    + "SELECT ClaimID, Provider, InscClaimAmtReimbursed, 0 AS src_priority FROM batch "
-    "UNION ALL SELECT ClaimID, Provider, InscClaimAmtReimbursed, 1 FROM history",
+    + f"SELECT {_cols(_MERGED_COLUMNS)}, 0 AS src_priority FROM batch "
+    + f"UNION ALL SELECT {_cols(_MERGED_COLUMNS)}, 1 FROM history",
     "dedup_keep_first": "SELECT ClaimID AS \"ClaimID\", "
-    + ", ".join(star.LINE_ORDER)
+    + ", ".join([*star.LINE_KEY, *star.LINE_ORDER])
     + f" FROM (SELECT *, {star.CLAIM_EXPR['ClaimID']} AS ClaimID, row_number() OVER ("
     + f"PARTITION BY {', '.join(star.LINE_KEY)} ORDER BY {', '.join(star.LINE_ORDER)}) AS rn "
     + "FROM lineitem) WHERE rn = 1",
     "dedup_batch_history": _PAIR
-    + "SELECT ClaimID, Provider, InscClaimAmtReimbursed, 0 AS src_priority FROM batch "
-    "UNION ALL SELECT ClaimID, Provider, InscClaimAmtReimbursed, 1 FROM history "
+    + f"SELECT {_cols(_MERGED_COLUMNS)}, 0 AS src_priority FROM batch "
+    + f"UNION ALL SELECT {_cols(_MERGED_COLUMNS)}, 1 FROM history "
     "WHERE ClaimID NOT IN (SELECT ClaimID FROM batch)",
     **{
         name: _ALL + f"SELECT ClaimID, {_select(_mean_exprs(key))} FROM claims"
@@ -309,8 +330,8 @@ ORACLE: dict[str, str] = {
     + f"SELECT ClaimID, {_cols(S.GROUP_FEATURES)} FROM featured WHERE src_priority = 0",
     "onehot_gender_race": _PAIR + f"SELECT ClaimID, {_select(_FLAG_EXPRS)} FROM batch",
     "fill_zero": _ALL
-    + "SELECT ClaimID, OperatingPhysician, "
-    + ", ".join(f"coalesce({n}, 0) AS {_q(n)}" for n in S.BASE_NUMERICS)
+    + "SELECT "
+    + ", ".join(f"coalesce({n}, 0) AS {_q(n)}" if n in _NUMERIC else _q(n) for n in _MERGED_COLUMNS)
     + " FROM claims",
     "feature_matrix": _PAIR_FEATURED
     + f"SELECT ClaimID, {_select(_FILLED)} FROM featured WHERE src_priority = 0",

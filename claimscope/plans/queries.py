@@ -63,7 +63,19 @@ def scan_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preview_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred merged claims, all columns."""
-    return sampling.preview(sampling.with_row_index(prepared(spark, sf_dir, "all"), ["ClaimID"]))
+    return sampling.first_rows(prepared(spark, sf_dir, "all"), ["ClaimID"])
+
+
+def preview_beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_rows(star.beneficiary(spark, sf_dir), ["BeneID"])
+
+
+def preview_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_rows(star.all_tables(spark, sf_dir)[1], ["ClaimID"])
+
+
+def preview_outpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_rows(star.all_tables(spark, sf_dir)[2], ["ClaimID"])
 
 
 def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +139,7 @@ def union_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ben, inp, out = star.all_tables(spark, sf_dir)
-    joined = prepare.join_beneficiaries(prepare.union_claims(inp, out), ben)
-    return joined.select("ClaimID", "BeneID", "Provider", "Gender", "Race", "DOB", "State", "County")
+    return prepare.join_beneficiaries(prepare.union_claims(inp, out), ben)
 
 
 def prepare_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +152,7 @@ def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def batch_history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stacked = keyed.batch_history_union(*_pair(spark, sf_dir))
-    return stacked.select("ClaimID", "Provider", "InscClaimAmtReimbursed", "src_priority")
+    return keyed.batch_history_union(*_pair(spark, sf_dir))
 
 
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +160,12 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.table(spark, sf_dir, "lineitem").withColumn(
         "ClaimID", F.expr(star.CLAIM_EXPR["ClaimID"])
     )
-    return keyed.keep_first(lines, "ClaimID", star.LINE_ORDER).select("ClaimID", *star.LINE_ORDER)
+    return keyed.keep_first(lines, "ClaimID", star.LINE_ORDER).select("ClaimID", *star.LINE_KEY, *star.LINE_ORDER)
 
 
 def dedup_batch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked claims, one kept per claim id: the batch copy wins."""
-    merged = keyed.merge_batch_history(*_pair(spark, sf_dir))
-    return merged.select("ClaimID", "Provider", "InscClaimAmtReimbursed", "src_priority")
+    return keyed.merge_batch_history(*_pair(spark, sf_dir))
 
 
 # --------------------------------------------------------------- group features
@@ -221,8 +230,7 @@ def onehot_gender_race(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = prepared(spark, sf_dir, "all")
-    return encode.fill_zero(claims.select("ClaimID", "OperatingPhysician", *S.BASE_NUMERICS))
+    return encode.fill_zero(prepared(spark, sf_dir, "all"))
 
 
 def feature_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,10 +239,12 @@ def feature_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised feature matrix of the batch, to six places."""
-    matrix = feature_matrix(*_pair(spark, sf_dir))
-    written = stage(matrix.frame, "matrix")
-    scaled = fit_scaler(written, matrix.names).transform(written)
+    """Feature matrix of the batch, standardised as the history was, to six places."""
+    batch, history = _pair(spark, sf_dir)
+    past = feature_matrix(history, None, per_batch_row=False)
+    scaler = fit_scaler(stage(past.frame, "matrix"), past.names)
+    matrix = feature_matrix(batch, history, past.levels)
+    scaled = scaler.transform(matrix.frame)
     return scaled.selectExpr(
         ROW_ID, *[named(f"round({quoted(n)}, 6)", n) for n in matrix.names]
     )
@@ -248,18 +258,12 @@ def score_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("PRV"), F.col("s_suppkey").cast("string")).alias("Provider"),
         (F.col("s_suppkey") % 10 < 3).cast("int").alias("label"),
     )
-    scorer = ClaimScorer.fit(history, labels, trees=5, depth=3)
-    scored = scorer.score(batch, history)
-    return scored.select("ClaimID", "Provider", "InscClaimAmtReimbursed", S.PREDICTION)
+    return ClaimScorer.fit(history, labels).score(batch, history)
 
 
 # --------------------------------------------------------------------- sampling
-_SAMPLED = ["ClaimID", "BeneID", "Provider", "InscClaimAmtReimbursed"]
-
-
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = prepared(spark, sf_dir, "all").select(*_SAMPLED)
-    return sampling.with_row_index(claims, ["ClaimID"])
+    return sampling.with_row_index(prepared(spark, sf_dir, "all"), ["ClaimID"])
 
 
 def _sampled(pick: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +333,9 @@ QUERIES: dict[str, Query] = {
     "scan_pool": scan_pool,
     "scan_providers": scan_providers,
     "preview_merged": preview_merged,
+    "preview_beneficiary": preview_beneficiary,
+    "preview_inpatient": preview_inpatient,
+    "preview_outpatient": preview_outpatient,
     "count_rows": count_rows,
     "recode_flags": recode_flags,
     "recode_renal": recode_renal,

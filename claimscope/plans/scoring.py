@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import schemas as S
-from claimscope.operators.keyed import keep_first
 from claimscope.operators.lookup import id_join, skew_safe_join
 from claimscope.operators.scale import Scaler, fit_scaler
 from claimscope.plans.features import ROW_ID, Limits, feature_matrix
@@ -44,15 +43,12 @@ class ClaimScorer:
     ) -> ClaimScorer:
         """Fit on the history itself; ``labels`` gives each ``Provider`` a 0/1 ``label``."""
         use_checkpoint_dir(history.sparkSession)
-        fitted = feature_matrix(history, None, limits=limits, per_batch_row=False)
+        fitted = feature_matrix(history, None, limits=limits, per_batch_row=False, carry=["Provider"])
         # Read by the scaler fit and by the tree fit.
         matrix = stage(fitted.frame, "matrix")
         scaler = fit_scaler(matrix, fitted.names)
-        providers = keep_first(history.select(ROW_ID, "Provider"), ROW_ID)
-        label_of = skew_safe_join(providers, stage(labels, "labels"), "Provider", "inner")
-        training = assemble(scaler.transform(matrix), fitted.names).join(
-            label_of.select(ROW_ID, LABEL), ROW_ID
-        )
+        vectors = assemble(scaler.transform(matrix), fitted.names)
+        training = skew_safe_join(vectors, stage(labels, "labels"), "Provider", "inner")
         trees_fit = GBTClassifier(
             labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed
         )

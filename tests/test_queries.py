@@ -2,9 +2,9 @@ import check_oracle
 import pytest
 
 import __spark_entry__ as entry_points
+from claimscope.plans.oracle import ORACLE
+from claimscope.plans.queries import QUERIES
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
