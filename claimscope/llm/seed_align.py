@@ -1,33 +1,33 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every word n-gram of a test item is a seed. One pass over the corpus counts in how many documents each seed is.
-2. Per item the rarer seeds are kept: those that are in no more than ``RARE`` times as many documents as its lower quartile
-   seed. The bound is relative to the item, so an item that was copied into very many documents keeps its seeds.
-3. A second pass joins passages to items by the rare seeds (the items in blocks of bounded size) and aligns each passage
-   around a seed with the item, word by word. Edited words, gaps and insertions lower the score; from ``LEAST``
-   of the score of the whole item on, the document counts as contaminated.
+1. Every word n-gram of a test item is a seed, however many documents it is in: any of them may be all that an edited copy
+   has left.
+2. One pass over the corpus for each block of items of bounded size. Of the items that share a seed with a document those stay
+   of whose words, counted by place, it holds ``LEAST``; no alignment with less can reach that score, so this loses nothing.
+3. Each passage around a seed is aligned with the item, word by word. Edited words, gaps and insertions lower the score; from
+   ``LEAST`` of the score of the whole item on, the document counts as contaminated.
 
-The texts are never shuffled.
+A copy in which every run of ``SEED_WORDS`` words is broken has no seed and is not found. The texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.llm.common import byte_rows, load, whole_text
 
-#: Words in a seed, and how many times the documents of the item's lower-quartile seed a rare seed may have.
-SEED_WORDS, RARE = 3, 2.0
+#: Words in a seed; items with fewer words are one seed.
+SEED_WORDS = 3
 #: Share of an item's full score that a contaminated passage reaches.
 LEAST = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items shorter than this many words are compared as a whole, without a seed of full length.
 #: Bytes of item texts in one block; each block is another pass over the corpus.
 BLOCK_BYTES = 16_000_000
 #: Passages aligned at once.
@@ -81,81 +81,98 @@ def align(items: np.ndarray, sizes: np.ndarray, passages: np.ndarray) -> tuple[n
 
 
 class Matcher:
-    """A block of items with their rare seeds."""
+    """A block of items with their seeds."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rare: dict[int, set[bytes]] | None):
+    def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
-        self._words = [words_of(text) for _, text in items]
         vocabulary: dict[bytes, int] = {}
-        self._codes = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32) for words in self._words]
-        self._vocabulary = vocabulary
-        self._seeds: dict[bytes, list[tuple[int, int]]] = {}
-        for n, words in enumerate(self._words):
-            for at, seed in seeds_of(words):
-                if rare is None or seed in rare[self.ids[n]]:
-                    self._seeds.setdefault(seed, []).append((n, at))
-
-    def seeds_in(self, words: list[bytes]) -> set[bytes]:
-        """The seeds of the block that are in a document."""
-        return self._grams(words).keys() & self._seeds.keys()
-
-    def _grams(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Positions of the n-grams all of whose words are in some item."""
-        codes = self._vocabulary
-        known = np.fromiter((w in codes for w in words), bool, len(words))
-        grams: dict[bytes, list[int]] = {}
-        for size in range(1, SEED_WORDS + 1):
-            if size < SEED_WORDS and not self._short(size):
-                continue
+        seeds: dict[bytes, int] = {}
+        seed, owner, place = array("i"), array("i"), array("i")
+        self._codes: list[np.ndarray] = []
+        for n, (_, text) in enumerate(items):
+            words = words_of(text)
+            self._codes.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            for at, gram in seeds_of(words):
+                seed.append(seeds.setdefault(gram, len(seeds)))
+                owner.append(n)
+                place.append(at)
+        self._vocabulary, self._seeds = vocabulary, seeds
+        order = np.argsort(np.array(seed, np.int32), kind="stable")
+        #: Items and places of all seeds, those of seed k from ``_heads[k]`` up to ``_heads[k + 1]``.
+        self._owner, self._place = np.array(owner, np.int32)[order], np.array(place, np.int32)[order]
+        self._heads = np.concatenate([[0], np.cumsum(np.bincount(np.array(seed, np.int32), minlength=len(seeds)))]).astype(np.int64)
+        self._sizes = np.array([len(c) for c in self._codes], np.int64)
+        self._first = np.cumsum(self._sizes) - self._sizes
+        self._all_codes = np.concatenate([*self._codes, np.empty(0, np.int32)])
+        self._short = sorted({size for size in self._sizes.tolist() if size < SEED_WORDS})
+        self._present = np.zeros(len(vocabulary), bool)
+
+    def _places(self, words: list[bytes], known: np.ndarray) -> dict[int, list[int]]:
+        """Seeds in a document with the positions of each."""
+        places: dict[int, list[int]] = {}
+        for size in [*self._short, SEED_WORDS]:
             if len(words) < size:
                 break
             full = known[: len(words) - size + 1].copy()
             for k in range(1, size):
                 full &= known[k : len(words) - size + 1 + k]
             for at in np.flatnonzero(full).tolist():
-                grams.setdefault(b" ".join(words[at : at + size]), []).append(at)
-        return grams
-
-    def _short(self, size: int) -> bool:
-        return any(len(words) == size for words in self._words)
-
-    def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+                seed = self._seeds.get(b" ".join(words[at : at + size]))
+                if seed is not None:
+                    places.setdefault(seed, []).append(at)
+        return places
+
+    def _reachable(self, items: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Those of the items that have enough words in common with a document's ``codes`` to reach ``LEAST``."""
+        seen = codes[codes >= 0]
+        sizes = self._sizes[items]
+        self._present[seen] = True
+        common = np.add.reduceat(self._present[self._all_codes[_stretches(self._first[items], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self._present[seen] = False
+        return items[MATCH * common >= LEAST * MATCH * sizes]
+
+    def candidates(self, words: list[bytes], codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and the stretches of a document around their seeds; stretches of an item that touch are one."""
-        spans: dict[int, list[tuple[int, int]]] = {}
-        grams = self._grams(words)
-        for seed in grams.keys() & self._seeds.keys():
-            for n, at in self._seeds[seed]:
-                size = len(self._words[n])
-                room = size // 2 + 2
-                for place in grams[seed]:
-                    spans.setdefault(n, []).append((max(0, place - at - room), min(len(words), place - at + size + room)))
-        for n, parts in spans.items():
-            parts.sort()
-            size = len(self._words[n])
-            start, end, hits = *parts[0], 1
+        places = self._places(words, codes >= 0)
+        if not places:
+            return
+        seeds = np.fromiter(places, np.int64, len(places))
+        counts = self._heads[seeds + 1] - self._heads[seeds]
+        entries = _stretches(self._heads[seeds], counts)
+        owners = self._owner[entries]
+        seeds = np.repeat(seeds, counts)
+        kept = np.isin(owners, self._reachable(np.unique(owners), codes))
+        begins: dict[int, set[int]] = {}
+        for n, at, seed in zip(owners[kept].tolist(), self._place[entries[kept]].tolist(), seeds[kept].tolist(), strict=True):
+            begins.setdefault(n, set()).update(place - at for place in places[seed])
+        for n, firsts in begins.items():
+            size = len(self._codes[n])
+            room = size // 2 + 2
+            parts = [(max(0, first - room), min(len(words), first + size + room)) for first in sorted(firsts)]
+            start, end = parts[0]
             for a, b in [*parts[1:], (len(words) + 1, 0)]:
                 if a <= end and max(b, end) - start <= 4 * size + 16:
-                    end, hits = max(b, end), hits + 1
+                    end = max(b, end)
                 else:
                     yield n, start, end
-                    start, end, hits = a, b, 1
+                    start, end = a, b
 
     def find(self, texts: Iterable[bytes]) -> list[dict[int, tuple[float, int, int]]]:
         """For each text its contaminating items: share of the full score, first word, number of words."""
         found: list[dict[int, tuple[float, int, int]]] = []
         pairs: list[tuple[int, int, int, np.ndarray]] = []
-        codes = self._vocabulary
         for text in texts:
             words = words_of(text)
+            codes = np.fromiter((self._vocabulary.get(w, -3) for w in words), np.int32, len(words))
             found.append({})
-            for n, start, end in self.candidates(words):
-                passage = np.array([codes.get(w, -3) for w in words[start:end]], np.int32)
+            for n, start, end in self.candidates(words, codes):
+                passage = codes[start:end]
                 # No alignment can match more words than the two have in common.
                 if MATCH * np.isin(self._codes[n], passage).sum() >= LEAST * MATCH * len(self._codes[n]):
                     pairs.append((len(found) - 1, n, start, passage))
-            if len(pairs) >= 4 * _BATCH:
-                self._align(pairs, found)
-                pairs = []
+                    if len(pairs) >= 4 * _BATCH:
+                        self._align(pairs, found)
+                        pairs = []
         self._align(pairs, found)
         return found
 
@@ -176,6 +193,11 @@ class Matcher:
                     found[doc][item] = (share, start + first, last - first)
 
 
+def _stretches(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as its size says."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _listed(aligned: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray) -> tuple[list, ...]:
     best, first, last = (x.tolist() for x in aligned)
     return best, sizes.tolist(), first, last
@@ -207,38 +229,12 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
         yield block
 
 
-def rare_seeds(docs: DataFrame, block: list[tuple[int, bytes]], text: str = "text") -> dict[int, set[bytes]]:
-    """Per item of the block its seeds that are rare in ``docs``; every document is counted."""
-    everything = Matcher(block, None)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[bytes, int] = {}
-            for data in byte_rows(batch.column(0)):
-                for seed in everything.seeds_in(words_of(data)):
-                    counts[seed] = counts.get(seed, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["seed", "n"])
-
-    counts = docs.select(text).mapInArrow(count, "seed binary, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    own = [(item, seed) for item, data in block for seed in {s for _, s in seeds_of(words_of(data))}]
-    session = docs.sparkSession
-    seeds = session.createDataFrame(own, "item_id long, seed binary").join(counts, "seed", "left").fillna(0, ["n"])
-    ranks = Window.partitionBy("item_id")
-    quartile = F.expr("percentile(n, 0.25)").over(ranks)
-    rare = seeds.withColumn("most", quartile * RARE).where("n <= most OR n <= 1").select("item_id", "seed")
-    out: dict[int, set[bytes]] = {item: set() for item, _ in block}
-    for row in rare.toLocalIterator():
-        out[row.item_id].add(bytes(row.seed))
-    return out
-
-
 def _mapped(docs: DataFrame, block: list[tuple[int, bytes]], text: str, emit, schema) -> DataFrame:
-    rare = rare_seeds(docs, block, text)
-    shared = docs.sparkSession.sparkContext.broadcast((block, rare))
+    shared = docs.sparkSession.sparkContext.broadcast(block)
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
+        matcher = Matcher(shared.value)
         for batch in batches:
             yield emit(batch, matcher.find(byte_rows(batch.column(at))))
 

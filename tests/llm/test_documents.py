@@ -98,6 +98,26 @@ def test_an_item_in_every_document_keeps_its_seeds(spark):
     assert contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 40
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 1000])
+def test_edited_and_shortened_passages_are_found_however_often_they_stand(spark, copies):
+    item = prose(21, 40)
+    words = item.split()
+    edited = " ".join("new" if n in (5, 15, 25, 35) else w for n, w in enumerate(words))
+    passages = [edited, " ".join(words[:28]), " ".join(words[12:])]
+    benchmark = spark.createDataFrame([(1, item), (2, prose(22, 40))], "item_id long, text string")
+    for passage, score in zip(passages, (0.85, 0.7, 0.7), strict=True):
+        found = contaminated(documents(spark, [(i, f"{prose(i + 30, 9)} {passage}") for i in range(copies)]), benchmark).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in found) == [(i, 1, score) for i in range(copies)]
+
+
+def test_unlike_edits_of_one_item_do_not_hide_each_other(spark):
+    words = prose(21, 40).split()
+    rows = [(0, " ".join(words))] + [(i, " ".join(words[12:])) for i in range(1, 60)] + [(i, " ".join(words[:28])) for i in range(60, 64)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert contaminated(documents(spark, rows), benchmark).count() == 64
+    assert without_contaminated(documents(spark, rows), benchmark).count() == 0
+
+
 def test_alignment_scores_are_those_of_the_plain_recurrence():
     rng = np.random.default_rng(0)
     for _ in range(30):
