@@ -46,6 +46,8 @@ HINTS = frozenset(
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?a-zA-Z](?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
+# The bodies of these are no markup; they run to their own end tag.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in "script style textarea title noscript iframe".split()}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,6 +81,21 @@ def _boilerplate(name: str, tag: str, in_article: bool) -> bool:
     return False
 
 
+def _tokens(page: str) -> Iterator[str]:
+    """Tags, comments and texts of a page without the bodies of raw-text elements."""
+    at = 0
+    while at < len(page):
+        for found in _TOKEN.finditer(page, at):
+            yield found[0]
+            at = found.end()
+            name = _NAME.match(found[0])
+            raw = _RAW.get(name[1].lower()) if name and found[0][1] != "/" and not found[0].endswith("/>") else None
+            if raw:
+                end = raw.search(page, at)
+                at = end.start() if end else len(page)
+                break
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     out: list[Block] = []
@@ -103,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
         del stack[to:]
         heading = any(s[0][0] == "h" and s[0][1:].isdigit() for s in stack)
 
-    for token in _TOKEN.findall(page):
+    for token in _tokens(page):
         if token[0] != "<" or len(token) == 1:
             if not skip:
                 text = html.unescape(token)

@@ -25,6 +25,14 @@ def test_main_text_without_an_article_and_odd_pages():
     assert main_text("<p" + " a='" * 20_000) == "" and len(main_text("<article>" + "<div>" * 3000 + "x")) == 1
 
 
+def test_bodies_of_raw_text_elements_are_no_markup():
+    for raw in ("<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if(a<b)c()</Script >", "<script><!-- x</script>", "<style>a<b{}</style>",
+                "<title>a <b</title>", "<textarea>x<y</textarea>", "<noscript><!-- <img a='</noscript>", "<script>a</scripts><p></script>",
+                "<svg><style>a<b</style></svg>"):
+        assert main_text(f"<article>{raw}<p>{LINE}</p><script>x</script><p>{LINE}</p></article>") == f"{LINE.strip()}\n{LINE.strip()}", raw
+    assert main_text(f"<article><p>{LINE}</p><script>a<b <p>{LINE}</p>") == LINE.strip()
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<article>x</article>")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_main_text(pages.selectExpr("*", "1 AS text")).collect()) == [("", 0), ("", 0), ("x", 1)]
