@@ -4,6 +4,10 @@ The page is cut into blocks at block-level tags. Pass 1 decides blocks by what t
 their characters in links, by their length and by the share of stop words. Short blocks and middling ones stay ambiguous.
 In pass 2 they take the label of the nearest decided neighbour; a tie goes to the text if the block itself has stop words. Inside an
 article element only blocks of that element are neighbours, and if none of them is decided the ambiguous ones are text.
+
+Menus, footers, asides and hidden elements hold no text. A form or a class name that sounds like boilerplate is a vote only:
+it counts for nothing around the article or main element, around most of the text that pass 1 would decide without it, or
+if such elements hold all of that text. Comments are text only on a page that has no other.
 """
 
 from __future__ import annotations
@@ -38,12 +42,17 @@ BLOCKS = frozenset(
 )
 DROPPED = frozenset("script style noscript template svg math textarea select button iframe object canvas title option video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
+FORMS = frozenset("form fieldset".split())
 HINTS = frozenset(
     """ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login
     masthead menu modal nav navbar navigation newsletter notice popup promo promotion related replies respond search share sharing sidebar
     signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Hints of what readers wrote. It may be longer than the text, and its parts may be article elements.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: How many times the text of the page's articles a doubtful element beside them must hold to be text too.
+BESIDE = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?a-zA-Z](?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+>|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 # The bodies of these are no markup; they run to their own end tag.
@@ -60,10 +69,25 @@ class Block:
     bad: bool
     article: int
     heading: bool
+    #: The innermost doubtful element around it, 0 for none.
+    within: int = 0
+
+
+@dataclass
+class Doubtful:
+    """A form, or an element with a hint in its attributes; one of a larger number may be inside one of a smaller."""
+
+    within: int
+    comments: bool
+    inside: bool = False
+    rich: int = 0
+    mains: int = 0
+    articles: int = 0
+    bad: bool = False
 
 
 def _boilerplate(name: str, tag: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its name and its attributes."""
+    """Whether an element holds no main text whatever is in it, by its name and its attributes."""
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
     if name in ("html", "body", "article", "main") or tag.find("=") < 0 and " hidden" not in tag:
@@ -74,13 +98,19 @@ def _boilerplate(name: str, tag: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role"):
-            hints = HINTS.intersection(re.split(r"[^a-z0-9]+", value))
-            if hints - {"header"} or (key == "role" and value in ("banner", "contentinfo", "complementary")):
-                return True
+        if key == "role" and value in ("banner", "contentinfo", "complementary", "navigation"):
+            return True
     return False
 
 
+def _hints(name: str, tag: str) -> set[str]:
+    """Words in the attributes of an element that speak against main text."""
+    if name in ("html", "body", "article", "main") or tag.find("=") < 0:
+        return set()
+    values = [v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(tag) if k.lower() in ("class", "id", "role")]
+    return {word for v in values for word in HINTS.intersection(re.split(r"[^a-z0-9]+", v))}
+
+
 def _tokens(page: str) -> Iterator[str]:
     """Tags, comments and texts of a page without the bodies of raw-text elements."""
     at = 0
@@ -101,8 +131,9 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, bool]] = []
-    bad, article, link, heading = False, 0, False, False
+    stack: list[tuple[str, bool, int, bool, int]] = []
+    bad, article, link, heading, within = False, 0, False, False, 0
+    doubtful = [Doubtful(0, False)]
     articles = 0
     skip = ""
 
@@ -110,13 +141,13 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, bad, article, heading))
+            out.append(Block(text, linked, bad, article, heading, within))
         parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal bad, article, link, heading
-        _, bad, article, link = stack[to]
+        nonlocal bad, article, link, heading, within
+        _, bad, article, link, within = stack[to]
         del stack[to:]
         heading = any(s[0][0] == "h" and s[0][1:].isdigit() for s in stack)
 
@@ -158,17 +189,57 @@ def blocks_of(page: str) -> list[Block]:
             at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] in BLOCKS), None)
             if at is not None and (stack[at][0] == "p" or (stack[at][0] == name and name in ("li", "dt", "dd", "td", "th", "tr"))):
                 pop(at)
-        stack.append((name, bad, article, link))
+        stack.append((name, bad, article, link, within))
         bad = bad or _boilerplate(name, token, article > 0)
-        if name in ("article", "main") and not article:
-            articles += 1
-            article = articles
+        hints = set() if bad else _hints(name, token)
+        if not bad and (hints or name in FORMS):
+            doubtful.append(Doubtful(within, doubtful[within].comments or bool(hints & COMMENTS), article > 0))
+            within = len(doubtful) - 1
+        if name in ("article", "main"):
+            if not article:
+                articles += 1
+                article = articles
+                if not bad and not doubtful[within].comments:
+                    doubtful[within].articles += name == "article"
+                    doubtful[within].mains += name == "main"
         link = link or name == "a"
         heading = heading or (name[0] == "h" and name[1:].isdigit())
     flush()
+    _weigh(out, doubtful)
     return out
 
 
+def _weigh(blocks: list[Block], doubtful: list[Doubtful]) -> None:
+    """Make the blocks bad whose doubtful elements stay so, by what these hold of the page."""
+    if len(doubtful) == 1:
+        return
+    rich = [len(b.text) if _decided(b) else 0 for b in blocks]
+    told = [0] * len(doubtful)
+    for block, size in zip(blocks, rich, strict=True):
+        doubtful[block.within].rich += size
+        told[block.within] += len(block.text) if block.article and not block.bad else 0
+    page = doubtful[0]
+    for one in doubtful[:0:-1]:
+        outer = doubtful[one.within]
+        outer.rich, outer.mains, outer.articles = outer.rich + one.rich, outer.mains + one.mains, outer.articles + one.articles
+    clear = told[0]
+    for one, own in zip(doubtful[1:], told[1:], strict=True):
+        if one.comments:
+            text = one.rich and one.rich == page.rich and not page.mains + page.articles
+        elif page.mains and one.mains == page.mains:
+            text = True
+        else:
+            around = not page.mains and page.articles and one.articles == page.articles
+            text = 2 * one.rich > page.rich and one.rich > (1 if one.inside else BESIDE) * clear or (around and 2 * one.rich >= page.rich)
+        one.bad = doubtful[one.within].bad or not text
+        clear += 0 if one.bad else own
+    if not clear and all(doubtful[b.within].bad for b, size in zip(blocks, rich, strict=True) if size):
+        for one in doubtful[1:]:
+            one.bad = one.comments
+    for block in blocks:
+        block.bad = block.bad or doubtful[block.within].bad
+
+
 def _decided(block: Block) -> bool | None:
     """Pass 1: text, no text, or not decided."""
     size = len(block.text.replace(" ", ""))

@@ -33,6 +33,29 @@ def test_bodies_of_raw_text_elements_are_no_markup():
     assert main_text(f"<article><p>{LINE}</p><script>a<b <p>{LINE}</p>") == LINE.strip()
 
 
+def test_a_wrapper_with_a_hint_does_not_outweigh_the_text_in_it():
+    text = "\n".join([LINE.strip()] * 3)
+    body = f"<p>{LINE}</p><p>{LINE}</p><p>{LINE}</p>"
+    side = f"<div class='sidebar'><p>{LINE}</p></div><div class='comments'><article><p>{LINE * 9}</p></article></div>"
+    for wrapper in ("<form action=x>", "<div class='has-sidebar'>", "<div class='content-with-sidebar'>", "<div class='search results'>", "<div id=nav-open>",
+                    "<form><div class='has-sidebar'>", "<fieldset>"):
+        for inner in (f"<main>{body}</main>{side}", f"<article>{body}</article>{side}", f"{body}<div class=sidebar><p>{LINE}</p></div>"):
+            assert main_text(f"<body>{wrapper}<nav>{LINE}</nav>{inner}<footer>{LINE}</footer>") == text, (wrapper, inner)
+        assert main_text(f"{wrapper}<article><p>Only short</article>") == "Only short"
+    assert main_text(f"<article><h1>Head</h1><div class='no-sidebar'>{body}</div></article>") == f"Head\n{text}"
+    assert main_text(f"<div class=promo><article>{body}</article></div><div class=promo><article>{body}</article></div>") == f"{text}\n{text}"
+
+
+def test_place_still_leaves_out_what_is_beside_the_text():
+    text = "\n".join([LINE.strip()] * 3)
+    body = f"<p>{LINE}</p><p>{LINE}</p><p>{LINE}</p>"
+    for beside in (f"<form><p>{LINE}</p></form>", f"<div class=related><article><p>{LINE}</p></article></div>", f"<div class=comments><p>{LINE * 9}</p></div>",
+                   f"<div class=cookie><p>{LINE * 4}</p></div>", f"<aside><article>{LINE * 9}</article></aside>", f"<div hidden><main>{LINE * 9}</main></div>"):
+        assert main_text(f"<article>{body}</article>{beside}") == text, beside
+        assert main_text(f"<form>{beside}<main>{body}</main></form>") == text, beside
+    assert main_text(f"<article><p>Only short</article><div class=comments>{LINE}</div>") == "Only short"
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<article>x</article>")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_main_text(pages.selectExpr("*", "1 AS text")).collect()) == [("", 0), ("", 0), ("x", 1)]
