@@ -40,7 +40,7 @@ BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
-DROPPED = frozenset("script style noscript template svg math textarea select button iframe object canvas title option video audio".split())
+DROPPED = frozenset("script style noscript template svg textarea select datalist button iframe canvas title option video audio annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 FORMS = frozenset("form fieldset".split())
@@ -126,8 +126,36 @@ def _tokens(page: str) -> Iterator[str]:
                 break
 
 
+def _ends(tokens: list[str]) -> dict[int, int]:
+    """Positions of the dropped elements that have an end tag of their own, and of those end tags.
+
+    An open one ends without it where a block or a dropped element around it ends.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth = dict.fromkeys(BLOCKS | DROPPED, 0)
+    for n, token in enumerate(tokens):
+        match = _NAME.match(token)
+        name = match[1].lower() if match else ""
+        if name not in depth or name in VOID:
+            continue
+        if token[1] != "/":
+            if name in BLOCKS or not token.endswith("/>"):
+                stack.append((name, n))
+                depth[name] += 1
+        elif depth[name]:
+            while True:
+                last, at = stack.pop()
+                depth[last] -= 1
+                if last == name:
+                    break
+            if name in DROPPED:
+                ends[at] = n
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, empty ones left out."""
+    """The blocks of a page in order, empty ones left out. A dropped element without an end tag ends where the next block starts or ends."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -135,7 +163,10 @@ def blocks_of(page: str) -> list[Block]:
     bad, article, link, heading, within = False, 0, False, False, 0
     doubtful = [Doubtful(0, False)]
     articles = 0
-    skip = ""
+    tokens = list(_tokens(page))
+    ends = _ends(tokens)
+    #: Up to which token all is dropped, and whether all is until the next block.
+    until, skip = -1, False
 
     def flush() -> None:
         nonlocal linked
@@ -151,7 +182,9 @@ def blocks_of(page: str) -> list[Block]:
         del stack[to:]
         heading = any(s[0][0] == "h" and s[0][1:].isdigit() for s in stack)
 
-    for token in _tokens(page):
+    for n, token in enumerate(tokens):
+        if n <= until:
+            continue
         if token[0] != "<" or len(token) == 1:
             if not skip:
                 text = html.unescape(token)
@@ -163,30 +196,31 @@ def blocks_of(page: str) -> list[Block]:
         if not match:
             continue
         name, closing = match[1].lower(), token[1] == "/"
-        if skip:
-            if closing and name == skip:
-                skip = ""
+        if skip and name not in BLOCKS:
             continue
+        skip = False
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             flush()
         if closing:
-            at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == name), None)
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             # An inline end tag does not close the block it is misplaced in.
             if at is not None and (name in BLOCKS or not any(s[0] in BLOCKS for s in stack[at + 1 :])):
                 pop(at)
             continue
         if name in DROPPED:
-            if not token.endswith("/>"):
-                skip = name
+            if n in ends:
+                until = ends[n]
+            elif not token.endswith("/>"):
+                skip = True
             continue
         if name in VOID or (token.endswith("/>") and name not in BLOCKS):
             continue
         if name in BLOCKS:
             # A paragraph ends where the next block starts, and takes its open inline tags along.
-            at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] in BLOCKS), None)
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
             if at is not None and (stack[at][0] == "p" or (stack[at][0] == name and name in ("li", "dt", "dd", "td", "th", "tr"))):
                 pop(at)
         stack.append((name, bad, article, link, within))

@@ -56,6 +56,17 @@ def test_place_still_leaves_out_what_is_beside_the_text():
     assert main_text(f"<article><p>Only short</article><div class=comments>{LINE}</div>") == "Only short"
 
 
+def test_unclosed_dropped_elements_end_at_the_next_block():
+    for name in "button select option video audio canvas svg template".split():
+        for broken in (f"<div><{name}>Menu</div>", f"<{name}>Menu", f"<div><{name}>a<{name}>b</{name}></div>"):
+            assert main_text(f"<article>{broken}<p>{LINE}</p><p>{LINE}</p></article>") == f"{LINE.strip()}\n{LINE.strip()}", broken
+    whole = "<select><option>a<option>b<optgroup><option>c</select><button><div>d</div>e</button><svg><svg></svg><text>f</text></svg>"
+    assert main_text(f"<article><p>{LINE}</p>{whole}<datalist><option value=1></datalist><p>{LINE}</p></article>") == f"{LINE.strip()}\n{LINE.strip()}"
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> <object data=a><b>as text</b></object>"
+    assert main_text(f"<article><p>{LINE}{formula}</p></article>") == f"{LINE}x=1 as text"
+    assert main_text("<article>" + "<button>" * 50_000 + f"<p>{LINE}</p></article>") == LINE.strip()
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<article>x</article>")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_main_text(pages.selectExpr("*", "1 AS text")).collect()) == [("", 0), ("", 0), ("x", 1)]
