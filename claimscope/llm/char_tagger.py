@@ -301,9 +301,9 @@ def tag_texts(tagger: CharTagger, texts: list[str]) -> Iterator[tuple[list[Span]
         for (n, start), spans in zip(where, tagger.decode(np.stack(rows)) if rows else (), strict=True):
             size = len(texts[n])
             for kind, a, b, sure in spans:
-                # What a window's edge cuts off is whole in the next window.
+                # What a window's edge cuts off is whole in the next window, unless it is as long as what two windows share.
                 cut = (a == 0 and start > 0) or (b == WINDOW and start + WINDOW < size)
-                if start + b <= size and (not cut or b - a > STRIDE):
+                if start + b <= size and (not cut or b - a >= STRIDE):
                     found[n].append((kind, start + a, start + b, sure))
         rows.clear()
         where.clear()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimscope.llm import byte_index, seed_align
 from claimscope.llm.bounded_ring import shard_rows
 from claimscope.llm.byte_index import connected, near_duplicates, without_near_duplicates
-from claimscope.llm.char_tagger import CharTagger, base_spans, find_personal_data, mask_personal_data, reconcile, span_tags
+from claimscope.llm.char_tagger import CharTagger, _classes, base_spans, find_personal_data, mask_personal_data, reconcile, span_tags, tag_texts
 from claimscope.llm.risk_rules import binomial_tail, fit_cutoffs, judged, kept_documents
 from claimscope.llm.seed_align import contaminated, without_contaminated
 
@@ -255,3 +255,16 @@ def test_windows_are_reconciled():
     found = [("card", 5, 10, 0.99), ("card", 9, 13, 0.98), ("phone", 6, 12, 0.96), ("ip", 18, 20, 0.5), ("email", 21, 22, 0.99)]
     assert reconcile(text, found, []) == [("card", 5, 13)]
     assert reconcile(text, found, [("phone", 0, 8)]) == [("phone", 0, 8)]
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 127, 128, 200])
+@pytest.mark.parametrize("start", [0, 63, 64, 65, 128])
+def test_spans_of_any_size_and_place_are_whole_over_windows(start, size):
+    class Digits:
+        def decode(self, rows):
+            seven = _classes("7")[0]
+            runs = [np.flatnonzero(row == seven) for row in rows]
+            return [[("card", int(r[0]), int(r[-1]) + 1, 0.99)] if len(r) else [] for r in runs]
+
+    text = "x" * start + "7" * size + "x" * 150
+    assert [spans for _, spans in tag_texts(Digits(), [text])] == [[("card", start, start + size)]]
