@@ -52,7 +52,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-# The network and the tokenizer have no SQL; tests/llm compares the rows with a plain Python version.
+# The network and the tokenizer have no SQL; tests/llm holds the operators against brute force, not yet the stages one after the other.
 ORACLE_SQL = None
 
 
