@@ -7,6 +7,7 @@ from claimscope.llm.bounded_ring import op4_bounded_ring
 from claimscope.llm.byte_index import op2_byte_index
 from claimscope.llm.char_tagger import op9_char_tagger
 from claimscope.llm.direct_codes import op10_direct_codes
+from claimscope.llm.licence_scan import op11_licence_scan
 from claimscope.llm.main_text import op3_main_text
 from claimscope.llm.piece_codec import op6_piece_codec
 from claimscope.llm.reply_trees import op5_reply_trees
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_risk_rules": op8_risk_rules,
     "op9_char_tagger": op9_char_tagger,
     "op10_direct_codes": op10_direct_codes,
+    "op11_licence_scan": op11_licence_scan,
 }
 
 # The others have no SQL: hashes, tokenizers, HTML, archives, trained networks. tests/llm holds them against brute force.
