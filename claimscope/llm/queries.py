@@ -7,6 +7,8 @@ from claimscope.llm.bounded_ring import op4_bounded_ring
 from claimscope.llm.byte_index import op2_byte_index
 from claimscope.llm.char_tagger import op9_char_tagger
 from claimscope.llm.direct_codes import op10_direct_codes
+from claimscope.llm.length_buckets import ORACLE_SQL as LENGTH_BUCKETS_SQL
+from claimscope.llm.length_buckets import op12_length_buckets
 from claimscope.llm.licence_scan import op11_licence_scan
 from claimscope.llm.main_text import op3_main_text
 from claimscope.llm.piece_codec import op6_piece_codec
@@ -27,9 +29,11 @@ QUERIES = {
     "op9_char_tagger": op9_char_tagger,
     "op10_direct_codes": op10_direct_codes,
     "op11_licence_scan": op11_licence_scan,
+    "op12_length_buckets": op12_length_buckets,
 }
 
 # The others have no SQL: hashes, tokenizers, HTML, archives, trained networks. tests/llm holds them against brute force.
 ORACLE = {
     "op8_risk_rules": RISK_RULES_SQL,
+    "op12_length_buckets": LENGTH_BUCKETS_SQL,
 }
