@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -250,10 +250,11 @@ class Search:
 
 def _search(blocks: DataFrame, anchors: Anchors) -> DataFrame:
     """The ``k`` best rows per window, ranked."""
-    shared = blocks.sparkSession.sparkContext.broadcast(anchors)
+    given = {f.name: getattr(anchors, f.name) for f in fields(anchors) if f.init}
+    shared = blocks.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(shared.value)
+        search = Search(Anchors(**shared.value))
         for batch in batches:
             for row in batch.to_pylist():
                 search.add(Block(row))

@@ -12,6 +12,8 @@ from claimscope.llm.length_buckets import op12_length_buckets
 from claimscope.llm.licence_scan import op11_licence_scan
 from claimscope.llm.main_text import op3_main_text
 from claimscope.llm.piece_codec import op6_piece_codec
+from claimscope.llm.prefix_trie import ORACLE_SQL as PREFIX_TRIE_SQL
+from claimscope.llm.prefix_trie import op13_prefix_trie
 from claimscope.llm.reply_trees import op5_reply_trees
 from claimscope.llm.risk_rules import ORACLE_SQL as RISK_RULES_SQL
 from claimscope.llm.risk_rules import op8_risk_rules
@@ -30,10 +32,12 @@ QUERIES = {
     "op10_direct_codes": op10_direct_codes,
     "op11_licence_scan": op11_licence_scan,
     "op12_length_buckets": op12_length_buckets,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # The others have no SQL: hashes, tokenizers, HTML, archives, trained networks. tests/llm holds them against brute force.
 ORACLE = {
     "op8_risk_rules": RISK_RULES_SQL,
     "op12_length_buckets": LENGTH_BUCKETS_SQL,
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
 }
