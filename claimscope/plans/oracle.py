@@ -328,6 +328,22 @@ ORACLE: dict[str, str] = {
     },
     "batch_features": _PAIR_FEATURED
     + f"SELECT ClaimID, {_cols(S.GROUP_FEATURES)} FROM featured WHERE src_priority = 0",
+    "history_statistics": _PAIR
+    + "\nUNION ALL ".join(
+        f"SELECT '{S.count_name(keys)}' AS key_set, "
+        + ", ".join(f"{keys[i]} AS key_{i}" if i < len(keys) else f"'' AS key_{i}" for i in range(4))
+        + ", count(ClaimID) AS n, count(*) AS n_rows FROM history WHERE "
+        + " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        + " GROUP BY ALL"
+        for keys in S.COUNT_KEYS
+        if len(keys) > 1
+    ),
+    "stored_features": _PAIR_FEATURED
+    + f"SELECT ClaimID, {_cols(S.GROUP_FEATURES)} FROM featured WHERE src_priority = 0",
+    # The half that is added first is part of the history; without it in front, the same merged claims.
+    "second_batch_features": _PAIR_FEATURED
+    + f"SELECT ClaimID, {_cols(S.GROUP_FEATURES)} FROM featured "
+    "WHERE src_priority = 0 AND CAST(substr(ClaimID, 4) AS BIGINT) % 2 <> 0",
     "onehot_gender_race": _PAIR + f"SELECT ClaimID, {_select(_FLAG_EXPRS)} FROM batch",
     "fill_zero": _ALL
     + "SELECT "

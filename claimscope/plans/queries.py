@@ -13,15 +13,16 @@ from claimscope import schemas as S
 from claimscope.operators import encode, keyed, prepare, sampling
 from claimscope.functions.claims import code_prefix, named, quoted
 from claimscope.operators.group_features import group_count, group_counts, group_means
-from claimscope.operators.scale import fit_scaler
 from claimscope.plans.features import (
+    COMPOSITE_KEYS,
     ROW_ID,
     ClaimPool,
     batch_features,
     feature_matrix,
 )
+from claimscope.plans.history_store import HistoryStore, history_moments
 from claimscope.plans.scoring import ClaimScorer
-from claimscope.plans.tables import prepared
+from claimscope.plans.tables import kept_history, prepared
 from claimscope.sources import star
 from claimscope.sources.csv_tables import load_claims, read_providers, read_raw
 from claimscope.sources.staging import stage, staging_root
@@ -238,12 +239,36 @@ def feature_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_logs(matrix.frame, matrix.names)
 
 
+def history_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of the history per key of several columns: claims with an id, and rows."""
+    names = ", ".join(f"{i}, '{S.count_name(keys)}'" for i, keys in enumerate(COMPOSITE_KEYS))
+    return kept_history(spark, sf_dir).sums("composites").selectExpr(
+        f"element_at(map({names}), set_id) AS key_set", "key_0", "key_1", "key_2", "key_3", "n", "n_rows"
+    )
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the batch over the kept statistics of the history."""
+    frame = batch_features(prepared(spark, sf_dir, "batch"), kept_history(spark, sf_dir))
+    return _rounded_logs(frame, S.GROUP_FEATURES)
+
+
+def second_batch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the batch made part of a kept history, features of the other half over it."""
+    batch, history = _pair(spark, sf_dir)
+    store = HistoryStore.create(history, f"{staging_root(spark)}/second-batch-{uuid.uuid4().hex}")
+    first = "CAST(substring(ClaimID, 4) AS BIGINT) % 2 = 0"
+    store.add(stage(batch.filter(first), "first-half"), "first half")
+    frame = batch_features(stage(batch.filter(f"NOT {first}"), "second-half"), store)
+    return _rounded_logs(frame, S.GROUP_FEATURES)
+
+
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature matrix of the batch, standardised as the history was, to six places."""
-    batch, history = _pair(spark, sf_dir)
-    past = feature_matrix(history, None, per_batch_row=False)
-    scaler = fit_scaler(stage(past.frame, "matrix"), past.names)
-    matrix = feature_matrix(batch, history, past.levels)
+    store = kept_history(spark, sf_dir)
+    levels = store.own_pool().levels()
+    scaler = history_moments(store, levels).scaler()
+    matrix = feature_matrix(prepared(spark, sf_dir, "batch"), store, levels)
     scaled = scaler.transform(matrix.frame)
     return scaled.selectExpr(
         ROW_ID, *[named(f"round({quoted(n)}, 6)", n) for n in matrix.names]
@@ -357,6 +382,9 @@ QUERIES: dict[str, Query] = {
     "tfidf_dx": partial(_tfidf, S.TFIDF_DIAGNOSIS),
     "tfidf_proc": partial(_tfidf, S.TFIDF_PROCEDURE),
     "batch_features": batch_features_query,
+    "history_statistics": history_statistics,
+    "stored_features": stored_features,
+    "second_batch_features": second_batch_features,
     "onehot_gender_race": onehot_gender_race,
     "fill_zero": fill_zero,
     "feature_matrix": feature_matrix_query,

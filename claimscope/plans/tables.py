@@ -1,20 +1,44 @@
-"""Prepared claims kept for reuse within one application."""
+"""Prepared claims and kept history statistics, for reuse within one application."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.operators.prepare import prepare_claims
+from claimscope.plans.history_store import HistoryStore
 from claimscope.sources import star
-from claimscope.sources.staging import stage
+from claimscope.sources.staging import fingerprint, stage, staging_root
 
 _RAW = {"all": star.all_tables, "batch": star.batch_tables, "history": star.history_tables}
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES = ("customer", "lineitem", "orders")
+_kept: dict[tuple[str, str, str], tuple[str, Any]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
+    """What ``make()`` gave for the tables as they are; they are looked at by name, size and time of their files."""
+    now = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in _TABLES])
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept or _kept[key][0] != now:
+        _kept[key] = (now, make())
+    return _kept[key][1]
 
 
 def prepared(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """The merged claims of one data set, prepared and written on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, which)
-    if key not in _written:
-        _written[key] = stage(prepare_claims(*_RAW[which](spark, sf_dir)), f"prepared-{which}")
-    return _written[key]
+    return _once(
+        spark, sf_dir, which, lambda: stage(prepare_claims(*_RAW[which](spark, sf_dir)), f"prepared-{which}")
+    )
+
+
+def kept_history(spark: SparkSession, sf_dir: str) -> HistoryStore:
+    """The statistics of the prepared history, made and written on first use."""
+
+    def make() -> HistoryStore:
+        path = f"{staging_root(spark)}/kept-history-{uuid.uuid4().hex}"
+        return HistoryStore.create(prepared(spark, sf_dir, "history"), path)
+
+    return _once(spark, sf_dir, "kept", make)

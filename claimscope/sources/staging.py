@@ -7,8 +7,10 @@ sizes, and a lost executor costs no recomputation of what came before.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Digest of the names, sizes and times of all files below ``paths``; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    listed = sorted(map(str, files.select("path", "length", "modificationTime").collect()))
+    return hashlib.sha256("\n".join(listed).encode()).hexdigest()
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Give jobs that checkpoint on their own (tree fitting) a folder to do so."""
     if spark.sparkContext.getCheckpointDir() is None:
