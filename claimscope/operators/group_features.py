@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from claimscope.functions.claims import named, quoted
 from claimscope.operators.lookup import BROADCAST_ROWS, HOT_SHARE, has_key, lookup_join
@@ -153,13 +154,13 @@ def attach(
     prefix: str,
     share: float = HOT_SHARE,
     broadcast_rows: int = BROADCAST_ROWS,
+    row_id: str = ROW_ID,
 ) -> tuple[DataFrame, dict[int, str]]:
     """``rows`` with the group values of ``table``, and SQL text for each set's value.
 
-    ``rows`` has unique claim ids, of which one may be NULL. Single-key sets counted to be small are broadcast and
-    joined map side. The others are looked up as thin rows and folded into one map per
-    claim, which has at most one entry per key set. New columns start with ``prefix``.
-    A value is NULL for a claim without the complete key.
+    ``rows`` has a unique ``row_id``, of which one may be NULL. Single-key sets counted to be small are broadcast and
+    joined map side. The others are looked up as thin rows, which are shuffled once by ``row_id`` and folded into one
+    column per key set. New columns start with ``prefix``. A value is NULL for a claim without the complete key.
     """
     direct = _direct_sets(table, plan, broadcast_rows)
     wide, texts = rows, {}
@@ -176,7 +177,7 @@ def attach(
     if not others:
         return wide, texts
     found = lookup_join(
-        plan.only(set(others)).melt(rows, ROW_ID),
+        plan.only(set(others)).melt(rows, row_id),
         table.filter(~F.col("set_id").isin(direct)) if direct else table,
         plan.columns,
         "_rows",
@@ -185,29 +186,44 @@ def attach(
         share,
         broadcast_rows,
     )
+    for set_id in others:
+        texts[set_id] = f"{prefix}_{set_id}"
+    # Thin rows are brought together first: folded map side, each would be as wide as the result.
     folded = (
-        found.select(ROW_ID, "set_id", "value")
-        .groupBy(ROW_ID)
-        .agg(F.expr(f"map_from_entries(collect_list(struct(set_id, value))) AS {prefix}_map"))
+        found.select(row_id, "set_id", "value")
+        .repartition(row_id)
+        .groupBy(row_id)
+        .agg(*[F.expr(_only(set_id, table)).alias(texts[set_id]) for set_id in others])
     )
-    for set_id in others:
-        texts[set_id] = f"try_element_at({prefix}_map, {set_id})"
     # The one claim without an id finds its own values, as in the direct joins.
-    folded = folded.withColumnRenamed(ROW_ID, f"{prefix}_id")
-    same_id = F.col(ROW_ID).eqNullSafe(F.col(f"{prefix}_id"))
+    folded = folded.withColumnRenamed(row_id, f"{prefix}_id")
+    same_id = F.col(row_id).eqNullSafe(F.col(f"{prefix}_id"))
     return wide.join(folded, same_id, "left").drop(f"{prefix}_id"), texts
 
 
+def _only(set_id: int, table: DataFrame) -> str:
+    """The one value of a key set among the rows of a claim."""
+    value = f"CASE WHEN set_id = {set_id} THEN value END"
+    is_number = isinstance(table.schema["value"].dataType, NumericType)
+    return f"max({value})" if is_number else f"first({value}, true)"
+
+
 def group_counts(
     claims: DataFrame, key_sets: Mapping[str, Sequence[str]], **limits
 ) -> DataFrame:
-    """Add claim counts for many key sets at once (``claims`` has unique claim ids).
+    """Add claim counts for many key sets at once.
 
-    ``key_sets`` maps each output column to its key columns.
+    ``key_sets`` maps each output column to its key columns. Every row counts, also those that repeat a claim id. Rows
+    are told apart by their id; a table that repeats ids (found by a count per id) is written with a number per row.
     """
+    rows, row_id = claims, ROW_ID
+    per_id = claims.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("n"))
+    if not per_id.filter("n > 1").isEmpty():
+        row_id = "_row"
+        rows = stage(claims.withColumn(row_id, F.monotonically_increasing_id()), "numbered")
     plan = KeyPlan([KeySet(tuple(k)) for k in key_sets.values()])
-    marked = claims.withColumns({IN_BATCH: F.lit(True), HAS_ID: has_id()})
+    marked = rows.withColumns({IN_BATCH: F.lit(True), HAS_ID: has_id()})
     table = keyed_table(marked, plan, {"n": F.count_if(HAS_ID)}, "n", [HAS_ID])
-    found, texts = attach(claims, table, plan, claims.count(), "_count", **limits)
+    found, texts = attach(rows, table, plan, rows.count(), "_count", row_id=row_id, **limits)
     counts = [named(texts[i], name) for i, name in enumerate(key_sets)]
     return found.selectExpr(*map(quoted, claims.columns), *counts)
