@@ -220,6 +220,31 @@ _SCALED = {
     for n in _FEATURES
 }
 
+# ------------------------------------------------------------------------ trees
+# Each claim walks down each tree node by node.
+_USED = Q.CHECK_TREES.features()
+_UNROUNDED = {n: _SCALED[n].removeprefix("round(").removesuffix(", 6)") for n in _USED}
+
+
+def _sql_value(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else repr(value)
+
+
+_NODE_ROWS = ", ".join(f"({', '.join(map(_sql_value, n))})" for n in Q.CHECK_TREES.nodes)
+_WALKED = _with(
+    *_SCALED_CTES,
+    f"nodes(tree, node, feature, threshold, left_node, right_node, value) AS (VALUES {_NODE_ROWS})",
+    "facts AS ("
+    + " UNION ALL ".join(f"SELECT ClaimID, '{n}' AS feature, {e} AS x FROM matrix, fitted" for n, e in _UNROUNDED.items())
+    + ")",
+    """walk AS (
+  SELECT ClaimID, n.* FROM matrix, nodes n WHERE n.node = 0
+  UNION ALL
+  SELECT w.ClaimID, n.* FROM walk w JOIN facts f ON f.ClaimID = w.ClaimID AND f.feature = w.feature
+  JOIN nodes n ON n.tree = w.tree AND n.node = CASE WHEN f.x <= w.threshold THEN w.left_node ELSE w.right_node END)""",
+    "margins AS (SELECT ClaimID, CAST(sum(value) AS DOUBLE) AS margin FROM walk WHERE value IS NOT NULL GROUP BY ClaimID)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
 # --------------------------------------------------------------------- sampling
 _SAMPLED = _cols(_MERGED_COLUMNS)
 _INDEXED = _with(
@@ -353,6 +378,17 @@ ORACLE: dict[str, str] = {
     + f"SELECT ClaimID, {_select(_FILLED)} FROM featured WHERE src_priority = 0",
     "standard_scale": _with(*_SCALED_CTES)
     + f"SELECT ClaimID, {_select(_SCALED)} FROM matrix, fitted",
+    "assemble_features": _with(*_SCALED_CTES)
+    + f"SELECT ClaimID, CAST({len(_FEATURES)} AS BIGINT) AS n_features, "
+    + f"CAST({' + '.join(f'CAST({_q(n)} <> 0 AS BIGINT)' for n in _FEATURES)} AS BIGINT) AS n_filled, "
+    + f"round({' + '.join(f'CAST({_q(n)} AS DOUBLE)' for n in _FEATURES)}, 4) AS total FROM matrix",
+    "predict_claims": _WALKED
+    + f"SELECT ClaimID, margin, CAST(margin > 0 AS INTEGER) AS {_q(S.PREDICTION)} FROM margins",
+    "scored_sink": _WALKED
+    + f"SELECT {', '.join(f'b.{_q(n)}' for n in _MERGED_COLUMNS)}, "
+    + f"CAST(margin > 0 AS INTEGER) AS {_q(S.PREDICTION)}, "
+    "CASE CAST(substr(ClaimID, 4) AS BIGINT) % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS batch "
+    "FROM batch b JOIN margins USING (ClaimID)",
     "row_index": _INDEXED + "SELECT * FROM indexed",
     "sample_top": _both("row_index < 250", f"row_index < {_TOTAL} - 250"),
     "sample_bottom": _both(f"row_index >= {_TOTAL} - 250", "row_index >= 250"),

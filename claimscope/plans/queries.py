@@ -6,12 +6,14 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import schemas as S
 from claimscope.operators import encode, keyed, prepare, sampling
 from claimscope.functions.claims import code_prefix, named, quoted
+from claimscope.operators.forest import Forest
 from claimscope.operators.group_features import group_count, group_counts, group_means
 from claimscope.plans.features import (
     COMPOSITE_KEYS,
@@ -21,10 +23,11 @@ from claimscope.plans.features import (
     feature_matrix,
 )
 from claimscope.plans.history_store import HistoryStore, history_moments
-from claimscope.plans.scoring import ClaimScorer
-from claimscope.plans.tables import kept_history, prepared
+from claimscope.plans.scoring import ClaimScorer, assemble
+from claimscope.plans.tables import kept_history, once, prepared
 from claimscope.sources import star
 from claimscope.sources.csv_tables import load_claims, read_providers, read_raw
+from claimscope.sources.sink import BatchSink
 from claimscope.sources.staging import stage, staging_root
 
 SAMPLE_SEED = 42
@@ -276,14 +279,84 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- the model
-def score_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch claims with a predicted label, from trees fitted on the whole history."""
-    batch, history = _pair(spark, sf_dir)
-    labels = star.table(spark, sf_dir, "supplier").select(
+def _provider_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("PRV"), F.col("s_suppkey").cast("string")).alias("Provider"),
         (F.col("s_suppkey") % 10 < 3).cast("int").alias("label"),
     )
-    return ClaimScorer.fit(history, labels).score(batch, history)
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> ClaimScorer:
+    """The classifier fitted on the whole history, on first use."""
+    labels = _provider_labels(spark, sf_dir)
+    return once(spark, sf_dir, "scorer", lambda: ClaimScorer.fit(kept_history(spark, sf_dir), labels))
+
+
+def fit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trees fitted on the whole history."""
+    return _fitted(spark, sf_dir).forest.table(spark)
+
+
+def score_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch claims with a predicted label, from the trees fitted on the whole history."""
+    batch = prepared(spark, sf_dir, "batch")
+    return _fitted(spark, sf_dir).score(batch, kept_history(spark, sf_dir))
+
+
+# Trees to check predictions with: every kind of feature, in units of the scaled matrix.
+CHECK_TREES = Forest((
+    (0, 0, "PerProviderAvg_InscClaimAmtReimbursed", 0.25, 1, 2, None),
+    (0, 1, "ClmCount_Provider", -0.5, 3, 4, None),
+    (0, 2, "Age", 0.4, 5, 6, None),
+    (0, 3, None, None, None, None, -0.75),
+    (0, 4, None, None, None, None, 0.25),
+    (0, 5, None, None, None, None, 0.5),
+    (0, 6, None, None, None, None, 1.0),
+    (1, 0, "ClmDiagnosisCode_1TF-IDF", 0.1, 1, 2, None),
+    (1, 1, "Gender_2", 0.0, 3, 4, None),
+    (1, 2, None, None, None, None, -0.5),
+    (1, 3, None, None, None, None, 0.125),
+    (1, 4, None, None, None, None, -0.375),
+    (2, 0, "PerClmDiagnosisCode_2_GrpAvg_AdmitForDays", 0.0, 1, 2, None),
+    (2, 1, None, None, None, None, 0.0625),
+    (2, 2, "ClmCount_Provider_ClmDiagnosisCode_3", 0.3, 3, 4, None),
+    (2, 3, None, None, None, None, -0.0625),
+    (2, 4, None, None, None, None, 0.3125),
+))
+
+
+def _check_scorer(spark: SparkSession, sf_dir: str) -> ClaimScorer:
+    store = kept_history(spark, sf_dir)
+    levels = store.own_pool().levels()
+    return ClaimScorer(levels, history_moments(store, levels).scaler(), CHECK_TREES)
+
+
+def predict_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin and label of every batch claim by given trees."""
+    batch, store = prepared(spark, sf_dir, "batch"), kept_history(spark, sf_dir)
+    margins = _check_scorer(spark, sf_dir).margins(batch, store)
+    return margins.withColumn(S.PREDICTION, (F.col("margin") > 0).cast("int"))
+
+
+def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the batch as one vector per claim: its length, filled places and sum to four places."""
+    store = kept_history(spark, sf_dir)
+    levels = store.own_pool().levels()
+    matrix = feature_matrix(prepared(spark, sf_dir, "batch"), store, levels)
+    vectors = assemble(matrix.frame, matrix.names).select(ROW_ID, vector_to_array("features").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    filled = F.size(F.filter("v", lambda x: x != 0)).cast("long")
+    return vectors.select(ROW_ID, F.size("v").cast("long").alias("n_features"), filled.alias("n_filled"), F.round(total, 4).alias("total"))
+
+
+def scored_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored batch claims written as two batches, the first one twice, and read back."""
+    batch = prepared(spark, sf_dir, "batch")
+    scored = stage(_check_scorer(spark, sf_dir).score(batch, kept_history(spark, sf_dir)), "scored")
+    sink = BatchSink(spark, f"{staging_root(spark)}/scored-{uuid.uuid4().hex}")
+    for name, part in (("even", 0), ("odd", 1), ("even", 0)):
+        sink.write(scored.filter(f"CAST(substring(ClaimID, 4) AS BIGINT) % 2 = {part}"), name)
+    return sink.read().select(*batch.columns, S.PREDICTION, "batch")
 
 
 # --------------------------------------------------------------------- sampling
@@ -389,6 +462,10 @@ QUERIES: dict[str, Query] = {
     "fill_zero": fill_zero,
     "feature_matrix": feature_matrix_query,
     "standard_scale": standard_scale,
+    "assemble_features": assemble_features,
+    "predict_claims": predict_claims,
+    "scored_sink": scored_sink,
+    "fit_claims": fit_claims,
     "score_claims": score_claims,
     "row_index": _indexed,
     "sample_top": partial(_sampled, _sample_top),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import schemas as S
+from claimscope.functions.claims import quoted
+from claimscope.operators.forest import Forest
 from claimscope.operators.lookup import id_join, skew_safe_join
 from claimscope.operators.scale import Scaler, fit_scaler
-from claimscope.plans.features import ROW_ID, Limits, feature_matrix
-from claimscope.sources.staging import stage, use_checkpoint_dir
+from claimscope.plans.features import ROW_ID, ClaimPool, Limits, make_pool, pool_matrix
+from claimscope.plans.history_store import HistoryStore, history_moments
+from claimscope.sources.staging import stage, staging_root, use_checkpoint_dir
 
 LABEL = "label"
 
@@ -25,16 +29,20 @@ def assemble(scaled: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class ClaimScorer:
-    """Fitted state: category levels, scaler in feature order, tree model."""
+    """Fitted state: category levels, scaler in feature order, trees; after a fit also the model they come from.
+
+    A history is a table of claims, or kept statistics, of which a batch reads what its own keys and ids need.
+    """
 
     levels: dict
     scaler: Scaler
-    model: GBTClassificationModel
+    forest: Forest
+    model: GBTClassificationModel | None = field(default=None, compare=False)
 
     @classmethod
     def fit(
         cls,
-        history: DataFrame,
+        history: DataFrame | HistoryStore,
         labels: DataFrame,
         trees: int = 20,
         depth: int = 5,
@@ -42,30 +50,42 @@ class ClaimScorer:
         limits: Limits = Limits(),
     ) -> ClaimScorer:
         """Fit on the history itself; ``labels`` gives each ``Provider`` a 0/1 ``label``."""
-        use_checkpoint_dir(history.sparkSession)
-        fitted = feature_matrix(history, None, limits=limits, per_batch_row=False, carry=["Provider"])
-        # Read by the scaler fit and by the tree fit.
+        spark = labels.sparkSession
+        use_checkpoint_dir(spark)
+        kept = isinstance(history, HistoryStore)
+        pool = history.own_pool(limits) if kept else ClaimPool(history, None, limits)
+        fitted = pool_matrix(pool, None, False, ["Provider"])
         matrix = stage(fitted.frame, "matrix")
-        scaler = fit_scaler(matrix, fitted.names)
+        scaler = history_moments(history, fitted.levels).scaler() if kept else fit_scaler(matrix, fitted.names)
         vectors = assemble(scaler.transform(matrix), fitted.names)
         training = skew_safe_join(vectors, stage(labels, "labels"), "Provider", "inner")
         trees_fit = GBTClassifier(
             labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed
         )
-        return cls(fitted.levels, scaler, trees_fit.fit(training.select("features", LABEL)))
+        model = trees_fit.fit(training.select("features", LABEL))
+        forest = Forest.of_model(spark, model, fitted.names, f"{staging_root(spark)}/trees-{uuid.uuid4().hex}")
+        return cls(fitted.levels, scaler, forest, model)
+
+    def margins(
+        self, batch: DataFrame, history: DataFrame | HistoryStore, limits: Limits = Limits()
+    ) -> DataFrame:
+        """``ClaimID`` and ``margin``, one row per distinct batch claim; only the trees' features are built."""
+        used = self.forest.features()
+        matrix = pool_matrix(make_pool(batch, history, limits), self.levels, False, only=used)
+        scaled = self.scaler.only(used).transform(matrix.frame)
+        margin = self.forest.margin({n: quoted(n) for n in used})
+        return scaled.selectExpr(ROW_ID, f"{margin} AS margin")
 
     def predict(
-        self, batch: DataFrame, history: DataFrame, limits: Limits = Limits()
+        self, batch: DataFrame, history: DataFrame | HistoryStore, limits: Limits = Limits()
     ) -> DataFrame:
         """``ClaimID`` and predicted label, one row per distinct batch claim."""
-        matrix = feature_matrix(batch, history, self.levels, limits, per_batch_row=False)
-        vectors = assemble(self.scaler.transform(matrix.frame), matrix.names)
-        return self.model.transform(vectors).select(
-            ROW_ID, F.col("prediction").cast("int").alias(S.PREDICTION)
+        return self.margins(batch, history, limits).select(
+            ROW_ID, (F.col("margin") > 0).cast("int").alias(S.PREDICTION)
         )
 
     def score(
-        self, sample: DataFrame, history: DataFrame, limits: Limits = Limits()
+        self, sample: DataFrame, history: DataFrame | HistoryStore, limits: Limits = Limits()
     ) -> DataFrame:
         """Every row of the sample with its prediction."""
         predicted = stage(self.predict(sample, history, limits), "predictions")
@@ -77,7 +97,7 @@ class ClaimScorer:
         spark.createDataFrame(rows, "category string, position int, level int").coalesce(
             1
         ).write.mode("overwrite").parquet(f"{path}/levels")
-        self.model.write().overwrite().save(f"{path}/trees")
+        self.forest.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClaimScorer:
@@ -85,4 +105,4 @@ class ClaimScorer:
         for row in spark.read.parquet(f"{path}/levels").orderBy("category", "position").collect():
             levels[row.category].append(row.level)
         scaler = Scaler.load(spark, f"{path}/scaler")
-        return cls(levels, scaler, GBTClassificationModel.load(f"{path}/trees"))
+        return cls(levels, scaler, Forest.of_table(spark.read.parquet(f"{path}/trees")))

@@ -14,11 +14,11 @@ from claimscope.sources import star
 from claimscope.sources.staging import fingerprint, stage, staging_root
 
 _RAW = {"all": star.all_tables, "batch": star.batch_tables, "history": star.history_tables}
-_TABLES = ("customer", "lineitem", "orders")
+_TABLES = ("customer", "lineitem", "orders", "supplier")
 _kept: dict[tuple[str, str, str], tuple[str, Any]] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
     """What ``make()`` gave for the tables as they are; they are looked at by name, size and time of their files."""
     now = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in _TABLES])
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -29,7 +29,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any])
 
 def prepared(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """The merged claims of one data set, prepared and written on first use."""
-    return _once(
+    return once(
         spark, sf_dir, which, lambda: stage(prepare_claims(*_RAW[which](spark, sf_dir)), f"prepared-{which}")
     )
 
@@ -41,4 +41,4 @@ def kept_history(spark: SparkSession, sf_dir: str) -> HistoryStore:
         path = f"{staging_root(spark)}/kept-history-{uuid.uuid4().hex}"
         return HistoryStore.create(prepared(spark, sf_dir, "history"), path)
 
-    return _once(spark, sf_dir, "kept", make)
+    return once(spark, sf_dir, "kept", make)

@@ -3,7 +3,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from claimscope import schemas as S
-from claimscope.plans.scoring import ClaimScorer
+from claimscope.plans.features import feature_matrix
+from claimscope.plans.history_store import HistoryStore
+from claimscope.plans.scoring import ClaimScorer, assemble
 from claimscope.plans.tables import prepared
 
 
@@ -32,6 +34,23 @@ def test_every_sample_row_gets_a_label_that_a_reloaded_model_repeats(spark, sf_d
 
     scorer.save(spark, str(tmp_path / "scorer"))
     again = ClaimScorer.load(spark, str(tmp_path / "scorer"))
-    assert (again.levels, again.scaler) == (scorer.levels, scorer.scaler)
+    assert again == scorer and again.forest.nodes
     repeated = again.score(sample, history).select("ClaimID", S.PREDICTION)
     assert rows(repeated, "ClaimID", S.PREDICTION) == got
+
+
+def test_the_compiled_trees_equal_the_model(spark, sf_dir, fitted, tmp_path):
+    """Labels and margins are those of the fitted model; kept statistics give the same."""
+    history, _, scorer = fitted
+    batch = prepared(spark, sf_dir, "batch")
+    matrix = feature_matrix(batch, history, scorer.levels, per_batch_row=False)
+    scored = scorer.model.transform(assemble(scorer.scaler.transform(matrix.frame), matrix.names))
+    wanted = {r.ClaimID: (int(r.prediction), r.rawPrediction[1]) for r in scored.select("ClaimID", "prediction", "rawPrediction").collect()}
+    store = HistoryStore.create(history, str(tmp_path / "store"))
+    for past in (history, store):
+        got = {r.ClaimID: r.margin for r in scorer.margins(batch, past).collect()}
+        assert got.keys() == wanted.keys()
+        for claim, (label, margin) in wanted.items():
+            assert (int(got[claim] > 0), got[claim]) == (label, pytest.approx(margin, abs=1e-9))
+    assert len(scorer.forest.features()) < 20
+    assert len({n[0] for n in scorer.forest.nodes}) == 2
