@@ -403,4 +403,10 @@ ORACLE: dict[str, str] = {
     "sample_between": _both(
         "row_index BETWEEN 100 AND 400", "row_index BETWEEN -400 AND 100"
     ),
+    "sample_guard": _INDEXED
+    + "SELECT pick, n_rows, n_rows = 0 AS refused FROM ("
+    "SELECT 'slice' AS pick, count(*) AS n_rows FROM indexed WHERE row_index >= 100 AND row_index < 400 "
+    f"UNION ALL SELECT 'slice_past_the_end', count(*) FROM indexed WHERE row_index >= {_TOTAL} "
+    "UNION ALL SELECT 'top_of_none', count(*) FROM indexed WHERE row_index < 0 "
+    "UNION ALL SELECT 'all', count(*) FROM indexed)",
 }

@@ -15,6 +15,7 @@ from claimscope.operators import encode, keyed, prepare, sampling
 from claimscope.functions.claims import code_prefix, named, quoted
 from claimscope.operators.forest import Forest
 from claimscope.operators.group_features import group_count, group_counts, group_means
+from claimscope.operators.positions import PositionIndex
 from claimscope.plans.features import (
     COMPOSITE_KEYS,
     ROW_ID,
@@ -360,40 +361,68 @@ def scored_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- sampling
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.with_row_index(prepared(spark, sf_dir, "all"), ["ClaimID"])
+def _index(spark: SparkSession, sf_dir: str) -> PositionIndex:
+    """All merged claims in order of their id, written on first use."""
 
+    def make() -> PositionIndex:
+        path = f"{staging_root(spark)}/positions-{uuid.uuid4().hex}"
+        return PositionIndex.write(prepared(spark, sf_dir, "all"), ["ClaimID"], path)
 
-def _sampled(pick: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pick(_indexed(spark, sf_dir))
+    return once(spark, sf_dir, "positions", make)
 
 
-def _sample_top(df: DataFrame) -> DataFrame:
-    return _both(sampling.top(df, 250), sampling.top(df, -250))
+def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).frame()
 
 
-def _sample_bottom(df: DataFrame) -> DataFrame:
-    return _both(sampling.bottom(df, 250), sampling.bottom(df, -250))
+def _sampled(pick: Callable[[PositionIndex], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pick(_index(spark, sf_dir))
 
 
-def _sample_random(df: DataFrame) -> DataFrame:
-    return sampling.random_rows(df, 1000, seed=SAMPLE_SEED)
+def _sample_top(index: PositionIndex) -> DataFrame:
+    return _both(index.top(250), index.top(-250))
 
 
-def _sample_at_position(df: DataFrame) -> DataFrame:
-    return _both(sampling.at_position(df, 17), sampling.at_position(df, -17))
+def _sample_bottom(index: PositionIndex) -> DataFrame:
+    return _both(index.bottom(250), index.bottom(-250))
 
 
-def _sample_at_label(df: DataFrame) -> DataFrame:
-    return sampling.at_label(df, 17)
+def _sample_random(index: PositionIndex) -> DataFrame:
+    return index.random_rows(1000, seed=SAMPLE_SEED)
 
 
-def _sample_slice(df: DataFrame) -> DataFrame:
-    return _both(sampling.slice_positions(df, 100, 400), sampling.slice_positions(df, -400, -100))
+def _sample_at_position(index: PositionIndex) -> DataFrame:
+    return _both(index.at_position(17), index.at_position(-17))
 
 
-def _sample_between(df: DataFrame) -> DataFrame:
-    return _both(sampling.between_labels(df, 100, 400), sampling.between_labels(df, -400, 100))
+def _sample_at_label(index: PositionIndex) -> DataFrame:
+    return index.at_label(17)
+
+
+def _sample_slice(index: PositionIndex) -> DataFrame:
+    return _both(index.slice_positions(100, 400), index.slice_positions(-400, -100))
+
+
+def _sample_between(index: PositionIndex) -> DataFrame:
+    return _both(index.between_labels(100, 400), index.between_labels(-400, 100))
+
+
+def sample_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks that must hold rows: how many each has, or that it was refused."""
+    index = _index(spark, sf_dir)
+    picks = {
+        "slice": index.slice_positions(100, 400),
+        "slice_past_the_end": index.slice_positions(index.total, index.total + 10),
+        "top_of_none": index.top(-index.total),
+        "all": index.bottom(index.total),
+    }
+    rows = []
+    for name, pick in picks.items():
+        try:
+            rows.append((name, sampling.require_rows(pick).count(), False))
+        except ValueError:
+            rows.append((name, 0, True))
+    return spark.createDataFrame(rows, "pick string, n_rows long, refused boolean")
 
 
 def _both(positive: DataFrame, negative: DataFrame) -> DataFrame:
@@ -467,7 +496,7 @@ QUERIES: dict[str, Query] = {
     "scored_sink": scored_sink,
     "fit_claims": fit_claims,
     "score_claims": score_claims,
-    "row_index": _indexed,
+    "row_index": row_index,
     "sample_top": partial(_sampled, _sample_top),
     "sample_bottom": partial(_sampled, _sample_bottom),
     "sample_random": partial(_sampled, _sample_random),
@@ -475,4 +504,5 @@ QUERIES: dict[str, Query] = {
     "sample_at_label": partial(_sampled, _sample_at_label),
     "sample_slice": partial(_sampled, _sample_slice),
     "sample_between": partial(_sampled, _sample_between),
+    "sample_guard": sample_guard,
 }

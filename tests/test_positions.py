@@ -1,0 +1,105 @@
+import hashlib
+import re
+
+import pytest
+from conftest import plan_of, rows
+
+from claimscope.operators.positions import PositionIndex
+from claimscope.sources.staging import stage
+
+N = 1000
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    # Half of the rows share one order key, some have none.
+    keys = "CASE WHEN id % 2 = 0 THEN 'k500' WHEN id % 50 = 1 THEN NULL ELSE concat('k', lpad(id, 3, '0')) END AS k"
+    return stage(spark.range(N).repartition(3).selectExpr(keys, "id * id AS v", "id"), "table")
+
+
+@pytest.fixture(scope="module")
+def index(table, tmp_path_factory):
+    return PositionIndex.write(table, ["k"], str(tmp_path_factory.mktemp("positions") / "i"), partitions=8)
+
+
+@pytest.fixture(scope="module")
+def expected(index):
+    """All rows in order."""
+    return rows(index.frame(), "row_index")
+
+
+def test_positions_are_gapless_and_in_order(table, index, expected):
+    assert [r[0] for r in expected] == list(range(N)) and index.total == N
+    keys = [r[1] for r in expected]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k))
+    assert sorted(r[1:] for r in expected if r[1]) == sorted(r for r in rows(table) if r[0])
+
+
+def test_a_shared_order_key_is_split(index):
+    sizes = [b - a for a, b in zip(index.starts, [*index.starts[1:], index.total])]
+    assert len(sizes) == 8 and max(sizes) < 0.35 * N
+
+
+@pytest.mark.parametrize(
+    "pick, wanted",
+    [
+        (lambda i: i.top(5), slice(0, 5)),
+        (lambda i: i.top(-990), slice(0, 10)),
+        (lambda i: i.top(5000), slice(0, N)),
+        (lambda i: i.top(-N), slice(0, 0)),
+        (lambda i: i.bottom(7), slice(N - 7, N)),
+        (lambda i: i.bottom(0), slice(0, 0)),
+        (lambda i: i.bottom(-400), slice(400, N)),
+        (lambda i: i.at_position(0), slice(0, 1)),
+        (lambda i: i.at_position(-1), slice(N - 1, N)),
+        (lambda i: i.at_label(N - 1), slice(N - 1, N)),
+        (lambda i: i.slice_positions(100, 900), slice(100, 900)),
+        (lambda i: i.slice_positions(-300, -100), slice(N - 300, N - 100)),
+        (lambda i: i.slice_positions(-5000, 3), slice(0, 3)),
+        (lambda i: i.slice_positions(9, 3), slice(0, 0)),
+        (lambda i: i.between_labels(-5, 3), slice(0, 4)),
+        (lambda i: i.between_labels(990, 2000), slice(990, N)),
+    ],
+)
+def test_picks(index, expected, pick, wanted):
+    assert rows(pick(index), "row_index") == expected[wanted]
+
+
+def test_positions_that_do_not_exist(index):
+    for n in (N, -N - 1):
+        with pytest.raises(IndexError):
+            index.at_position(n)
+    for n in (N, -1):
+        with pytest.raises(KeyError):
+            index.at_label(n)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, N])
+def test_random_rows_are_the_first_in_hash_order(index, expected, n):
+    order = sorted(range(N), key=lambda i: (hashlib.md5(f"9-{i}".encode()).hexdigest(), i))
+    assert rows(index.random_rows(n, seed=9), "row_index") == [expected[i] for i in sorted(order[:n])]
+    with pytest.raises(ValueError):
+        index.random_rows(N + 1)
+
+
+def test_a_pick_opens_only_the_files_of_its_rows(index):
+    def files(df):
+        from pyspark.sql import functions as F
+
+        plan = plan_of(df)
+        assert re.search(r"PartitionFilters: \[[^]]*_part", plan) and re.search(r"PushedFilters: \[[^]]*_place", plan), plan
+        scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+        df.collect()
+        return [scans.apply(i).metrics().get("numFiles").get().value() for i in range(scans.size()) if scans.apply(i).metrics().contains("numFiles")]
+
+    assert files(index.at_position(17)) == [1]
+    assert files(index.slice_positions(index.starts[3] + 1, index.starts[3] + 5)) == [1]
+
+
+def test_an_empty_table_and_a_reread_index(spark, table, index, expected, tmp_path):
+    empty = PositionIndex.write(stage(table.limit(0), "none"), ["k"], str(tmp_path / "e"))
+    assert empty.total == 0 and rows(empty.frame()) == rows(empty.top(3)) == rows(empty.random_rows(0)) == []
+    path = str(tmp_path / "again")
+    PositionIndex.write(table, ["k"], path, partitions=3)
+    again = PositionIndex.read(spark, path, table)
+    assert rows(again.slice_positions(100, 120), "row_index") == expected[100:120]
