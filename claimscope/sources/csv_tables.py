@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
 from claimscope import schemas as S
 from claimscope.operators.prepare import (
@@ -47,24 +50,104 @@ class ClaimTables(NamedTuple):
     claims: DataFrame
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Columns of ``schema`` by header name, typed; missing-value texts become NULL.
+class CsvRows(NamedTuple):
+    """Typed rows, and the lines that are none: ``file``, ``line`` and ``reason``."""
 
-    Codes stay text, so ``0066`` and ``66`` are different codes.
-    """
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
-    absent = [f.name for f in schema if f.name not in raw.columns]
+    rows: DataFrame
+    bad: DataFrame
+
+
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below ``path`` by the text of their first line."""
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()]
+
+    def first_line(file: str) -> str:
+        line = spark.read.text(file).head()
+        return line[0] if line else ""
+
+    by_header: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, header in zip(files, pool.map(first_line, files)):
+            # A file without any line has no rows either.
+            if header:
+                by_header.setdefault(header, []).append(file)
+    return by_header
+
+
+def _names(header: str, path: str, schema: StructType) -> list[str]:
+    names = next(csv.reader([header.removeprefix("\ufeff")]))
+    absent = [f.name for f in schema if f.name not in names]
     if absent:
-        raise ValueError(f"{path} has no column {', '.join(absent)}")
+        raise ValueError(f"{path} has a file without column {', '.join(absent)}")
+    return names
+
+
+def _lines(spark: SparkSession, files: list[str], header: str, names: list[str], multiline: bool) -> DataFrame:
+    """``_file, _line, _fields``, and ``_why`` for lines whose fields do not fit the header of their file."""
+    fields = StructType([StructField(f"_{i}", StringType()) for i in range(len(names))] + [StructField("_odd", StringType())])
+    how = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"}
+    file = F.col("_metadata.file_path").alias("_file")
+    if multiline:
+        raw = spark.read.options(**how, header=True, multiLine=True, enforceSchema=True).schema(fields).csv(files)
+        lines = raw.select(file, F.col("_odd").alias("_line"), F.struct(*fields.names).alias("_fields"))
+        open_quote = F.lit(False)
+    else:
+        text = spark.read.text(files).select(file, F.col("value").alias("_line"))
+        lines = text.filter((F.trim("_line") != "") & (F.col("_line") != header))
+        lines = lines.withColumn("_fields", F.from_csv("_line", fields.simpleString(), how))
+        open_quote = (F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit("")))) % 2 == 1
+    why = F.when(open_quote, F.lit("open quote")).when(F.col("_fields._odd").isNotNull(), F.lit("number of fields"))
+    return lines.withColumn("_why", why)
+
+
+def _typed(text: Column, kind: DataType) -> tuple[Column, Column]:
+    """The value of a text, and whether the text is none of its type; whole numbers may end in a point and zeros."""
+    value = F.when(~text.isin(MISSING_TEXTS), text)
+    if isinstance(kind, StringType):
+        return value, F.lit(False)
+    if isinstance(kind, IntegralType):
+        value = F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), F.regexp_replace(value, r"\.0*\s*$", "")).otherwise(value)
+        whole = F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value)
+        return whole.try_cast(kind), value.isNotNull() & whole.try_cast(kind).isNull()
+    return value.try_cast(kind), value.isNotNull() & value.try_cast(kind).isNull()
+
+
+def _parsed(spark: SparkSession, path: str, schema: StructType, multiline: bool) -> DataFrame:
+    """All lines: typed columns, and ``_file, _line, _why``, the last of which is NULL for good ones."""
+    groups = []
+    for header, files in _headers(spark, path).items():
+        names = _names(header, path, schema)
+        lines = _lines(spark, files, header, names, multiline)
+        columns, odd = [], []
+        for field in schema:
+            value, is_odd = _typed(F.col(f"_fields._{names.index(field.name)}"), field.dataType)
+            columns.append(value.alias(field.name))
+            odd.append(F.when(is_odd, F.lit(f"not a number: {field.name}")))
+        groups.append(lines.select(*columns, "_file", "_line", F.coalesce("_why", *odd).alias("_why")))
+    if not groups:
+        raise ValueError(f"{path} has no file with a header line")
+    return reduce(DataFrame.unionByName, groups)
+
+
+def read_with_quarantine(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> CsvRows:
+    """Columns of ``schema`` by the header of each file, and apart from them the lines that cannot be read.
+
+    A line is bad when it has more or fewer fields than its file's header, when a quote stays open, or when a number column holds something else;
+    ``1068.0`` is a whole number. Missing-value texts become NULL. Codes stay text, so ``0066`` and ``66`` are different codes. Lines
+    equal to the file's header are headers. ``multiline`` reads quoted line breaks, a file per task; ``line`` is then only known for a wrong number of
+    fields.
+    """
+    lines = _parsed(spark, path, schema, multiline)
+    rows = lines.filter("_why IS NULL").select(*schema.names)
+    return CsvRows(rows, lines.filter("_why IS NOT NULL").selectExpr("_file AS file", "_line AS line", "_why AS reason"))
 
-    def typed(field):
-        text = F.col(field.name)
-        value = F.when(~text.isin(MISSING_TEXTS), text)
-        if not isinstance(field.dataType, StringType):
-            value = value.cast(field.dataType)
-        return value.alias(field.name)
 
-    return raw.select(*[typed(f) for f in schema])
+def read_table(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
+    """The rows of ``read_with_quarantine``; a bad line fails the job with its file, reason and text."""
+    lines = _parsed(spark, path, schema, multiline)
+    message = F.concat_ws(": ", "_file", "_why", "_line")
+    good = F.when(F.col("_why").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return lines.filter(good).select(*schema.names)
 
 
 def read_raw(

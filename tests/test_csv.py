@@ -3,8 +3,10 @@ import datetime as dt
 import pytest
 from conftest import rows
 
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
 from claimscope import schemas as S
-from claimscope.sources.csv_tables import load_claims, read_providers, read_table
+from claimscope.sources.csv_tables import load_claims, read_providers, read_table, read_with_quarantine
 
 
 def write(path, columns, *lines):
@@ -63,3 +65,64 @@ def test_load_returns_raw_prepared_and_merged_tables(spark, tmp_path):
         "ClaimID", "AdmitForDays", "RenalDiseaseIndicator", "WhetherDead", S.CHRONIC_FLAGS[0]
     )
     assert rows(merged, "ClaimID") == [("C1", 4, 1, 0, 0), ("C2", None, 0, 1, 0)]
+
+
+def written(folder, **files):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_bytes(text.encode())
+    return str(folder)
+
+
+MIXED = StructType([StructField("Provider", StringType()), StructField("Amount", LongType())])
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    path = written(
+        tmp_path / "mixed",
+        a="Provider,Amount\nP1,1068.0\nP2,NA\n",
+        b="Amount,Other,Provider\n7,x,P3\r\n\n0008,,\"P,4\"\n",
+        c="\ufeffProvider,Amount\nP5,-3\nProvider,Amount\nP6,+4.\n",
+        empty="",
+        header_only="Other,Amount,Provider\n",
+    )
+    wanted = [("P,4", 8), ("P1", 1068), ("P2", None), ("P3", 7), ("P5", -3), ("P6", 4)]
+    assert rows(read_table(spark, path, MIXED), "Provider") == wanted
+    found = read_with_quarantine(spark, path, MIXED)
+    assert rows(found.rows, "Provider") == wanted and found.bad.isEmpty()
+    with pytest.raises(ValueError, match="Provider"):
+        read_table(spark, written(tmp_path / "no", a="Provider,Amount\n", b="Other,Amount\n"), MIXED)
+
+
+def test_bad_lines_are_set_aside_or_fail(spark, tmp_path):
+    lines = ["P1,1", "P2,2,3", "P3", '"P4,x', 'P5,"5', "P6,1068.5", "P7,many", "P8,99999999999999999999", '"P""9",9', '"P10,1",10', "P11,"]
+    path = written(tmp_path / "bad", a="Provider,Amount\n" + "\n".join(lines) + "\n", b="Amount,Provider\n12,P12\nP13,13\n")
+    found = read_with_quarantine(spark, path, MIXED)
+    assert sorted(rows(found.rows)) == sorted([("P1", 1), ('P"9', 9), ("P10,1", 10), ("P11", None), ("P12", 12)], key=lambda r: r[0])
+    bad = {r.line: (r.reason, r.file.rsplit("/", 1)[1]) for r in found.bad.collect()}
+    assert bad == {
+        "P2,2,3": ("number of fields", "a.csv"),
+        "P3": ("number of fields", "a.csv"),
+        '"P4,x': ("open quote", "a.csv"),
+        'P5,"5': ("open quote", "a.csv"),
+        "P6,1068.5": ("not a number: Amount", "a.csv"),
+        "P7,many": ("not a number: Amount", "a.csv"),
+        "P8,99999999999999999999": ("not a number: Amount", "a.csv"),
+        "P13,13": ("not a number: Amount", "b.csv"),
+    }
+    for line in ("P2,2,3", "P3", 'P5,"5', "P7,many"):
+        name = f"one-{abs(hash(line))}"
+        one = read_table(spark, written(tmp_path / name, a=f"Provider,Amount\n{line}\n"), MIXED)
+        # Also when no column, or only another one, is asked for.
+        for df in (one, one.select("Provider"), one.groupBy().count()):
+            with pytest.raises(Exception, match="a.csv"):
+                df.collect()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = written(tmp_path / "breaks", a='Provider,Amount\n"P\n1",1\nP2,2\n', b='Amount,Provider\n3,"P""\n3"\n4\n')
+    found = read_with_quarantine(spark, path, MIXED, multiline=True)
+    assert sorted(rows(found.rows)) == [("P\n1", 1), ('P"\n3', 3), ("P2", 2)]
+    assert [r.reason for r in found.bad.collect()] == ["number of fields"]
+    # Line by line, the same file has bad lines instead of wrong values.
+    assert read_with_quarantine(spark, path, MIXED).rows.collect() == [("P2", 2)]
