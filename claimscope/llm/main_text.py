@@ -7,13 +7,15 @@ article element only blocks of that element are neighbours, and if none of them
 
 Menus, footers, asides and hidden elements hold no text. A form or a class name that sounds like boilerplate is a vote only:
 it counts for nothing around the article or main element, around most of the text that pass 1 would decide without it, or
-if such elements hold all of that text. Comments are text only on a page that has no other.
+if such elements hold all of that text. Comments are text only on a page that has no other. On a page in another language its own most frequent short words
+stand in for stop words. If no block of a page is text by itself, all ambiguous ones are.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ from claimscope.llm.common import bounded_batches, load
 SHORT, LONG = 70, 200
 #: Shares: links above which a block is no text; stop words from which it is text, or may be.
 LINKS, STOPS_HIGH, STOPS_LOW = 0.5, 0.25, 0.1
+#: On a page with few known stop words, so many of its most frequent words of so many letters are taken for them.
+OWN_WORDS, OWN_LETTERS = 30, 4
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -60,6 +64,9 @@ _RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in "sc
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+# Characters of scripts that put no blanks between words, and their sentence marks.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_SENTENCE = re.compile(r"[\u3001\u3002\uff01\uff0c\uff1f\u104a\u104b\u17d4]|[\u0e00-\u0eff]{40}")
 
 
 @dataclass
@@ -159,7 +166,10 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, bool, int]] = []
+    #: Open elements, each with what held before it; where in it the blocks and the elements of each name are.
+    stack: list[tuple[str, bool, int, bool, bool, int]] = []
+    open_blocks: list[int] = []
+    open_names: dict[str, list[int]] = {}
     bad, article, link, heading, within = False, 0, False, False, 0
     doubtful = [Doubtful(0, False)]
     articles = 0
@@ -178,9 +188,11 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         nonlocal bad, article, link, heading, within
-        _, bad, article, link, within = stack[to]
-        del stack[to:]
-        heading = any(s[0][0] == "h" and s[0][1:].isdigit() for s in stack)
+        _, bad, article, link, heading, within = stack[to]
+        while len(stack) > to:
+            open_names[stack.pop()[0]].pop()
+        while open_blocks and open_blocks[-1] >= to:
+            open_blocks.pop()
 
     for n, token in enumerate(tokens):
         if n <= until:
@@ -205,9 +217,9 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            at = open_names[name][-1] if open_names.get(name) else None
             # An inline end tag does not close the block it is misplaced in.
-            if at is not None and (name in BLOCKS or not any(s[0] in BLOCKS for s in stack[at + 1 :])):
+            if at is not None and (name in BLOCKS or not open_blocks or open_blocks[-1] <= at):
                 pop(at)
             continue
         if name in DROPPED:
@@ -220,10 +232,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             # A paragraph ends where the next block starts, and takes its open inline tags along.
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
+            at = open_blocks[-1] if open_blocks else None
             if at is not None and (stack[at][0] == "p" or (stack[at][0] == name and name in ("li", "dt", "dd", "td", "th", "tr"))):
                 pop(at)
-        stack.append((name, bad, article, link, within))
+        if name in BLOCKS:
+            open_blocks.append(len(stack))
+        open_names.setdefault(name, []).append(len(stack))
+        stack.append((name, bad, article, link, heading, within))
         bad = bad or _boilerplate(name, token, article > 0)
         hints = set() if bad else _hints(name, token)
         if not bad and (hints or name in FORMS):
@@ -274,29 +289,66 @@ def _weigh(blocks: list[Block], doubtful: list[Doubtful]) -> None:
         block.bad = block.bad or doubtful[block.within].bad
 
 
-def _decided(block: Block) -> bool | None:
+def _own_words(blocks: list[Block]) -> frozenset[str]:
+    """What stands in for stop words on a page in another language: its most frequent short words; none where the known ones are frequent."""
+    counts: Counter[str] = Counter()
+    for block in blocks:
+        if len(block.text) >= SHORT and not block.bad and block.linked <= LINKS * len(block.text):
+            counts.update(_WORD.findall(block.text.lower()))
+    total = sum(counts.values())
+    if not total or sum(n for w, n in counts.items() if w in STOP_WORDS) >= STOPS_HIGH * total:
+        return frozenset()
+    short = sorted((-n, w) for w, n in counts.items() if len(w) <= OWN_LETTERS and n > 1)
+    return frozenset(w for _, w in short[:OWN_WORDS])
+
+
+def _decided(block: Block, own: frozenset[str] = frozenset()) -> bool | None:
     """Pass 1: text, no text, or not decided."""
     size = len(block.text.replace(" ", ""))
     if block.bad or block.linked > LINKS * size:
         return False
+    unspaced = len(_UNSPACED.findall(block.text))
+    if 2 * unspaced > size:
+        # Scripts without blanks say more in a character, and have sentence marks instead of stop words.
+        return True if size >= SHORT // 3 and _SENTENCE.search(block.text) else None
     if len(block.text) < SHORT:
         return None
-    if not block.article and ("\xa9" in block.text or block.linked > 0.3 * size):
+    if not block.article and block.linked > 0.3 * size:
         return False
     words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    stops = sum(w in STOP_WORDS or w in own for w in words) / max(len(words), 1)
     if stops >= STOPS_HIGH or (len(block.text) >= LONG and stops >= STOPS_LOW):
         return True
     return None
 
 
 def _has_stops(block: Block) -> bool:
-    return any(w in STOP_WORDS for w in _WORD.findall(block.text.lower()))
+    return _SENTENCE.search(block.text) is not None or any(w in STOP_WORDS for w in _WORD.findall(block.text.lower()))
+
+
+def _first_pass(blocks: list[Block]) -> list[bool | None]:
+    own = _own_words(blocks)
+    labels = [_decided(b, own) for b in blocks]
+    # A copyright line is no text where no text follows it.
+    for n in range(len(blocks) - 1, -1, -1):
+        if "\xa9" in blocks[n].text and len(blocks[n].text) < LONG and not blocks[n].article:
+            labels[n] = False
+        elif labels[n]:
+            break
+    # A paragraph that is one link counts as text right between two paragraphs of text.
+    for n in range(1, len(blocks) - 1):
+        block = blocks[n]
+        if labels[n] is False and not block.bad and len(block.text) >= SHORT and labels[n - 1] and labels[n + 1] and "\xa9" not in block.text:
+            labels[n] = True
+    if not any(labels) and not any(b.article and not b.bad for b in blocks):
+        # Nothing is text by itself: a page of short paragraphs, verses or in a language unknown here.
+        labels = [_WORD.search(b.text) is not None if label is None else label for b, label in zip(blocks, labels, strict=True)]
+    return labels
 
 
 def keep_blocks(blocks: list[Block]) -> list[str]:
     """Texts of the blocks that both passes keep."""
-    labels = [_decided(b) for b in blocks]
+    labels = _first_pass(blocks)
     far = len(blocks) + 1
     nearest: list[list[tuple[int, bool]]] = [[] for _ in blocks]
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
@@ -320,7 +372,6 @@ def keep_blocks(blocks: list[Block]) -> list[str]:
                 label = first if before < after else second
             else:
                 label = _has_stops(block)
-            # Lists of links or lone words outside an article need more than one kept neighbour.
         if label:
             out.append(block.text)
     return out
