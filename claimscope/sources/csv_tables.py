@@ -100,16 +100,11 @@ def _lines(spark: SparkSession, files: list[str], header: str, names: list[str],
     return lines.withColumn("_why", why)
 
 
-def _typed(text: Column, kind: DataType) -> tuple[Column, Column]:
-    """The value of a text, and whether the text is none of its type; whole numbers may end in a point and zeros."""
-    value = F.when(~text.isin(MISSING_TEXTS), text)
-    if isinstance(kind, StringType):
-        return value, F.lit(False)
+def _number(text: Column, kind: DataType) -> Column:
+    """A text as a number, NULL if it is none; whole numbers may end in a point and zeros."""
     if isinstance(kind, IntegralType):
-        value = F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), F.regexp_replace(value, r"\.0*\s*$", "")).otherwise(value)
-        whole = F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value)
-        return whole.try_cast(kind), value.isNotNull() & whole.try_cast(kind).isNull()
-    return value.try_cast(kind), value.isNotNull() & value.try_cast(kind).isNull()
+        text = F.regexp_replace(text, r"^\s*([+-]?\d+)\.0*\s*$", "$1")
+    return text.try_cast(kind)
 
 
 def _parsed(spark: SparkSession, path: str, schema: StructType, multiline: bool) -> DataFrame:
@@ -118,12 +113,22 @@ def _parsed(spark: SparkSession, path: str, schema: StructType, multiline: bool)
     for header, files in _headers(spark, path).items():
         names = _names(header, path, schema)
         lines = _lines(spark, files, header, names, multiline)
-        columns, odd = [], []
-        for field in schema:
-            value, is_odd = _typed(F.col(f"_fields._{names.index(field.name)}"), field.dataType)
-            columns.append(value.alias(field.name))
-            odd.append(F.when(is_odd, F.lit(f"not a number: {field.name}")))
-        groups.append(lines.select(*columns, "_file", "_line", F.coalesce("_why", *odd).alias("_why")))
+        numbers = [f for f in schema if not isinstance(f.dataType, StringType)]
+        texts = {f.name: F.col(f"_fields._{names.index(f.name)}") for f in schema}
+        # One projection after the other, so that each text is cleaned and cast once.
+        cleaned = lines.select(
+            "_file", "_line", "_why", *[F.when(~text.isin(MISSING_TEXTS), text).alias(n) for n, text in texts.items()]
+        )
+        typed = cleaned.withColumns({f"_n{i}": _number(F.col(f.name), f.dataType) for i, f in enumerate(numbers)})
+        odd = [
+            F.when(F.col(f.name).isNotNull() & F.col(f"_n{i}").isNull(), F.lit(f"not a number: {f.name}"))
+            for i, f in enumerate(numbers)
+        ]
+        value = {f.name: F.col(f"_n{i}") for i, f in enumerate(numbers)}
+        columns = [value.get(n, F.col(n)).alias(n) for n in schema.names]
+        # Numbering the rows keeps a filter on the reason from repeating all of this below.
+        row = F.monotonically_increasing_id().alias("_row")
+        groups.append(typed.select(*columns, "_file", "_line", F.coalesce("_why", *odd).alias("_why"), row))
     if not groups:
         raise ValueError(f"{path} has no file with a header line")
     return reduce(DataFrame.unionByName, groups)
@@ -138,8 +143,8 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: StructType, mul
     fields.
     """
     lines = _parsed(spark, path, schema, multiline)
-    rows = lines.filter("_why IS NULL").select(*schema.names)
-    return CsvRows(rows, lines.filter("_why IS NOT NULL").selectExpr("_file AS file", "_line AS line", "_why AS reason"))
+    rows = lines.filter("_why IS NULL AND _row >= 0").select(*schema.names)
+    return CsvRows(rows, lines.filter("_why IS NOT NULL AND _row >= 0").selectExpr("_file AS file", "_line AS line", "_why AS reason"))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
@@ -147,7 +152,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType, multiline: bo
     lines = _parsed(spark, path, schema, multiline)
     message = F.concat_ws(": ", "_file", "_why", "_line")
     good = F.when(F.col("_why").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return lines.filter(good).select(*schema.names)
+    return lines.filter(good & (F.col("_row") >= 0)).select(*schema.names)
 
 
 def read_raw(
