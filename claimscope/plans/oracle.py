@@ -327,6 +327,11 @@ ORACLE: dict[str, str] = {
     + f"SELECT {_cols(_MERGED_COLUMNS)}, 0 AS src_priority FROM batch "
     + f"UNION ALL SELECT {_cols(_MERGED_COLUMNS)}, 1 FROM history "
     "WHERE ClaimID NOT IN (SELECT ClaimID FROM batch)",
+    "joined_by_key": _ALL + f"SELECT {_cols(_MERGED_COLUMNS)} FROM claims",
+    "merged_by_key": _PAIR
+    + f"SELECT {_cols(_MERGED_COLUMNS)}, 0 AS src_priority FROM batch "
+    + f"UNION ALL SELECT {_cols(_MERGED_COLUMNS)}, 1 FROM history "
+    "WHERE ClaimID NOT IN (SELECT ClaimID FROM batch)",
     **{
         name: _ALL + f"SELECT ClaimID, {_select(_mean_exprs(key))} FROM claims"
         for name, key in Q.AVG_QUERIES.items()

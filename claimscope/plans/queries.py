@@ -28,6 +28,7 @@ from claimscope.plans.scoring import ClaimScorer, assemble
 from claimscope.plans.tables import kept_history, once, prepared
 from claimscope.sources import star
 from claimscope.sources.csv_tables import load_claims, read_providers, read_raw
+from claimscope.sources.keyed_layout import KeyedTable, merge_by_key
 from claimscope.sources.sink import BatchSink
 from claimscope.sources.staging import stage, staging_root
 
@@ -151,6 +152,14 @@ def prepare_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.prepare_claims(*star.all_tables(spark, sf_dir))
 
 
+def joined_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared claims from claims and beneficiaries laid out by ``BeneID``, joined without a shuffle."""
+    ben, inp, out = star.all_tables(spark, sf_dir)
+    claims = stage(prepare.union_claims(prepare.prepare_inpatient(inp), out), "claims")
+    patients = stage(prepare.prepare_beneficiary(ben), "patients")
+    return KeyedTable.write(claims, "BeneID", "claims").lookup(KeyedTable.write(patients, "BeneID", "patients"))
+
+
 # ------------------------------------------------------------ batch and history
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return prepared(spark, sf_dir, "batch"), prepared(spark, sf_dir, "history")
@@ -173,6 +182,12 @@ def dedup_batch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.merge_batch_history(*_pair(spark, sf_dir))
 
 
+def merged_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dedup_batch_history`` on claims laid out by ``ClaimID``: neither side is shuffled."""
+    batch, history = _pair(spark, sf_dir)
+    return merge_by_key(KeyedTable.write(batch, "ClaimID", "batch"), KeyedTable.write(history, "ClaimID", "history"))
+
+
 # --------------------------------------------------------------- group features
 def avg_by(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {S.mean_name(key, m): m for m in S.MEAN_FAMILIES[key]}
@@ -476,6 +491,8 @@ QUERIES: dict[str, Query] = {
     "batch_history_union": batch_history_union,
     "dedup_keep_first": dedup_keep_first,
     "dedup_batch_history": dedup_batch_history,
+    "joined_by_key": joined_by_key,
+    "merged_by_key": merged_by_key,
     **{name: partial(avg_by, key) for name, key in AVG_QUERIES.items()},
     **{name: partial(avg_by_prefix, code) for name, code in PREFIX_QUERIES.items()},
     "count_provider": partial(count_by, S.COUNT_KEYS[0]),
