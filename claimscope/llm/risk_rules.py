@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base rules are fixed. The learned rules are shares of a text (symbols, capitals, exclamation marks, repeated lines), each with a cutoff per
-stratum. Cutoffs come from labelled documents: for a rule and a stratum the fixed grid is walked from lenient to strict, as long
-as the exact binomial test rejects "more than ``RISK`` of the good documents would be refused" at level
-``ERROR / (rules x strata)``. Walking a fixed sequence needs no further correction over the cutoffs, and the division is Bonferroni's
-over rules and strata. So with probability 1 - ``ERROR`` no chosen cutoff refuses more than ``RISK`` of a stratum's good documents.
-A stratum with too few labels has no cutoff and refuses nothing by the learned rules.
+stratum. Cutoffs come from labelled documents, divided by a hash of their ids. A quarter proposes: for each rule the strictest
+cutoff of the grid that refuses an equal part of ``RISK`` of its good documents of a stratum or less, and an order of the rules, those first
+that refuse the fewest good documents over the grid. The rest tests all rules together: rule by rule in that order it walks the grid
+from lenient to strict up to the proposal, the rules before staying, as long as the exact binomial test rejects "more than ``RISK`` of the
+good documents would be refused by any of the rules" at level ``ERROR / strata``. To these documents the sequence is fixed, which
+needs no further correction over its steps, and the division is Bonferroni's over strata. So with probability
+1 - ``ERROR`` the chosen cutoffs of no stratum together refuse more than ``RISK`` of its good documents.
+A stratum with too few labels (fewer than about 490 good ones, at four strata) has no cutoff and refuses nothing by the learned rules.
 """
 
 from __future__ import annotations
@@ -156,18 +159,31 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     held = stage(rows.select("doc_id", "stratum", F.array(*_shares(m)).alias("shares")), "shares")
     if not few:
         held = held.join(good, "doc_id", "left_semi")
-    tests = [(r, c, cut) for r in range(len(RULES)) for c, cut in enumerate(GRID)]
-    over = [F.expr(f"count_if(shares[{r}] > {cut}D) AS k{r}_{c}") for r, c, cut in tests]
-    counts = stage(held.groupBy("stratum").agg(F.count("*").alias("n"), *over), "strata")
-    level = F.lit(ERROR) / (len(RULES) * F.lit(max(counts.count(), 1)))
-    each = F.expr("array(" + ", ".join(f"struct({r} AS r, {c} AS c, {cut}D AS cut, k{r}_{c} AS k)" for r, c, cut in tests) + ")")
-    rows = counts.select("stratum", F.col("n").cast("double").alias("n"), F.explode(each).alias("t")).select("stratum", "n", "t.*")
-    rows = rows.withColumn("passed", binomial_tail(F.col("n"), F.col("k").cast("double"), RISK) <= level)
-    # The cutoffs from the first one on that all pass; the last of them is chosen.
-    walk = rows.groupBy("stratum", "r").agg(F.sort_array(F.collect_list(F.struct("c", "cut", "passed"))).alias("walk"))
-    cut = F.expr(f"get(walk.cut, coalesce(array_min(filter(walk, x -> NOT x.passed).c), {len(GRID)}) - 1)")
-    chosen = walk.select("stratum", "r", cut.alias("cut")).groupBy("stratum")
-    return stage(chosen.agg(F.sort_array(F.collect_list(F.struct("r", "cut"))).alias("by_rule")).select("stratum", F.expr("by_rule.cut").alias("cutoffs")), "cutoffs")
+    held = held.withColumn("proposes", F.expr("substring(md5(CAST(doc_id AS STRING)), 1, 1) < '4'"))
+    # Stricter cutoffs refuse no fewer, so the cutoffs of a rule that pass are the first ones.
+    rules = []
+    for r in range(len(RULES)):
+        counts = [f"count_if(proposes AND shares[{r}] > {cut}D)" for cut in GRID]
+        n_passing = " + ".join(f"CAST({k} <= {RISK / len(RULES)}D * count_if(proposes) AS INT)" for k in counts)
+        rules.append(f"struct({' + '.join(counts)} AS refusals, {r} AS r, {n_passing} AS steps)")
+    proposed = stage(held.groupBy("stratum").agg(F.expr(f"sort_array(array({', '.join(rules)})) AS rules")), "proposed")
+    n_strata = proposed.count()
+    own = proposed.select(F.col("stratum").alias("own"), "rules")
+    tested = held.where("NOT proposes").join(F.broadcast(own) if n_strata <= BROADCAST_STRATA else own, F.col("stratum").eqNullSafe(F.col("own")))
+    grid = "array(" + ", ".join(f"{cut}D" for cut in GRID) + ")"
+    # The step from which on a document is refused: steps of the rules before, and the cutoffs of this one that its value is not above.
+    step = f"size(filter({grid}, cut -> cut >= shares[x.r]))"
+    first = F.expr(f"array_min(transform(rules, (x, j) -> if({step} < x.steps, {len(GRID)} * j + {step}, NULL)))")
+    over = ", ".join(f"count_if(first <= {s})" for s in range(len(RULES) * len(GRID)))
+    counts = tested.select("stratum", "rules", first.alias("first")).groupBy("stratum", "rules").agg(F.count("*").cast("double").alias("n"), F.expr(f"array({over})").cast("array<double>").alias("refused"))
+    tests = stage(counts, "steps").select("stratum", "rules", "n", F.explode("refused").alias("k"))
+    passes = binomial_tail(F.col("n"), F.col("k"), RISK) <= F.lit(ERROR) / max(n_strata, 1)
+    walked = tests.groupBy("stratum", "rules").agg(F.sum(passes.cast("int")).cast("int").alias("passed"))
+    place = "CAST(array_position(rules.r, r) AS INT) - 1"
+    cutoffs = F.expr(f"transform(sequence(0, {len(RULES) - 1}), r -> get({grid}, least(passed - {len(GRID)} * ({place}), rules[{place}].steps) - 1)) AS cutoffs")
+    # A stratum all of whose labels propose is tested on none.
+    untested = proposed.join(walked.select(F.col("stratum").alias("own")), F.col("stratum").eqNullSafe(F.col("own")), "left_anti").withColumn("passed", F.lit(0))
+    return stage(walked.unionByName(untested).select("stratum", cutoffs), "cutoffs")
 
 
 def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
@@ -216,10 +232,9 @@ def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, cutoffs).select("doc_id", "quality_rules.*")
 
 
-_ORACLE_VALUES = ", ".join(f"({i}, {cut})" for i, cut in enumerate(GRID))
 ORACLE_SQL = rf"""
 WITH base AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text,
+  SELECT doc_id, lang, coalesce(text, '') AS text, text IS NOT NULL AND doc_id IS NOT NULL AS counts,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
@@ -231,7 +246,7 @@ covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY doc_id),
 measured AS (
-  SELECT b.doc_id, lang, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  SELECT b.doc_id, lang, text, counts, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(text) - length(regexp_replace(text, '{_SYMBOLS}', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
          length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
@@ -239,24 +254,36 @@ measured AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id),
 shares AS (
-  SELECT doc_id, lang, 0 AS r, n_symbols / greatest(word_chars, 1) AS v FROM measured
-  UNION ALL SELECT doc_id, lang, 1, n_capitals / greatest(word_chars, 1) FROM measured
-  UNION ALL SELECT doc_id, lang, 2, n_exclamations / greatest(word_chars, 1) FROM measured
-  UNION ALL SELECT doc_id, lang, 3, n_dup_lines / greatest(n_lines, 1) FROM measured),
-grid(c, cut) AS (VALUES {_ORACLE_VALUES}),
+  SELECT doc_id, lang, counts, [n_symbols / greatest(word_chars, 1), n_capitals / greatest(word_chars, 1),
+         n_exclamations / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1)] AS v FROM measured),
+grid AS (SELECT {list(map(float, GRID))}::DOUBLE[] AS cuts),
 held AS (
-  SELECT lang, r, c, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
-  FROM shares JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id), grid GROUP BY ALL),
+  SELECT lang, v, left(md5(CAST(doc_id AS VARCHAR)), 1) < '4' AS proposes FROM shares
+  JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE counts),
+refusals AS (
+  SELECT lang, r, c, count(*) FILTER (proposes AND v[r] > cuts[c]) AS k, count(*) FILTER (proposes) AS n
+  FROM held, grid, range(1, {len(RULES)} + 1) AS rules(r), range(1, {len(GRID)} + 1) AS steps(c) GROUP BY ALL),
+proposed AS (
+  SELECT lang, r, count(*) FILTER (k <= CAST({RISK / len(RULES)} AS DOUBLE) * n) AS steps,
+         row_number() OVER (PARTITION BY lang ORDER BY sum(k), r) - 1 AS j
+  FROM refusals GROUP BY lang, r),
+reached AS (
+  SELECT h.lang, h.i, min({len(GRID)} * j + len(list_filter(cuts, lambda cut: cut >= v[r])))
+         FILTER (len(list_filter(cuts, lambda cut: cut >= v[r])) < steps) AS first
+  FROM (SELECT *, row_number() OVER () AS i FROM held WHERE NOT proposes) h JOIN proposed p ON h.lang IS NOT DISTINCT FROM p.lang, grid GROUP BY ALL),
+unions AS (
+  SELECT lang, s, count(*) AS n, count(*) FILTER (first <= s) AS k
+  FROM reached, range(0, {len(RULES) * len(GRID)}) AS steps(s) GROUP BY lang, s),
 tails AS (
-  SELECT lang, r, c, cut, n, k, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE (
+  SELECT lang, s, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE (
     SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))
     FROM (SELECT unnest(generate_series(0, k)) AS i)) END AS p
-  FROM held),
-passed AS (
-  SELECT *, bool_and(p <= {ERROR} / ({len(RULES)} * (SELECT count(DISTINCT lang) FROM held)))
-         OVER (PARTITION BY lang, r ORDER BY c) AS ok FROM tails),
-cutoffs AS (SELECT lang, r, min(cut) AS cut FROM passed WHERE ok GROUP BY lang, r),
-refused AS (SELECT DISTINCT doc_id FROM shares JOIN cutoffs USING (lang, r) WHERE v > cut),
+  FROM unions),
+passed AS (SELECT lang, count(*) FILTER (p <= {ERROR} / (SELECT count(DISTINCT coalesce(lang, '')) FROM held)) AS passed FROM tails GROUP BY lang),
+cutoffs AS (
+  SELECT p.lang, r, cuts[least(passed - {len(GRID)} * j, steps)] AS cut
+  FROM proposed p JOIN passed t ON p.lang IS NOT DISTINCT FROM t.lang, grid WHERE least(passed - {len(GRID)} * j, steps) > 0),
+refused AS (SELECT DISTINCT doc_id FROM shares s JOIN cutoffs c ON s.lang IS NOT DISTINCT FROM c.lang WHERE v[r] > cut),
 verdict AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM measured)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
