@@ -115,8 +115,11 @@ def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` with one row per (order, line number), first in a total order."""
-    lines = table(spark, sf_dir, "lineitem")
+    """``lineitem`` with one row per (order, line number), first in a total order.
+
+    Lines are shuffled by their order alone, which serves the choice of the first copy and the join to ``orders``.
+    """
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     first = Window.partitionBy(*LINE_KEY).orderBy(*LINE_ORDER)
     return lines.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 

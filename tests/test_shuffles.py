@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of, rows
 
 from claimscope.operators.group_features import KeyPlan, KeySet, per_key
+from claimscope.sources import star
 from claimscope.sources.staging import stage
 
 PLAN = KeyPlan([KeySet(("p", "a")), KeySet(("p", "b")), KeySet(("p", "a", "b"))])
@@ -30,3 +31,30 @@ def test_sets_with_one_first_key_shuffle_claims_once_by_it(spark):
 def test_chosen_sets_alone_are_made(spark):
     found = per_key(_claims(spark), PLAN.only({1}), [F.count("n").alias("c")], ["n"])
     assert {r.set_id for r in found.collect()} == {1}
+
+
+def test_lines_are_shuffled_once_for_first_copies_and_orders(spark, tmp_path):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    line += "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    made = spark.range(40).selectExpr(
+        "id % 6 AS l_orderkey", "id % 5 AS l_partkey", "id % 3 AS l_suppkey", "cast(id % 4 AS int) AS l_linenumber",
+        "1D AS l_quantity", "cast(id AS double) AS l_extendedprice", "0D AS l_discount", "0D AS l_tax",
+        "if(id % 2 = 0, 'R', 'N') AS l_returnflag", "'O' AS l_linestatus", "timestamp '2000-01-01' AS l_shipdate",
+    )
+    assert made.columns == [c.split()[0] for c in line.split(", ")]
+    made.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp '2000-01-01' AS o_orderdate").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        claims = star._claims(spark, str(tmp_path), "true")
+        shuffles = [p for p in plan_of(claims).splitlines() if "Exchange hashpartitioning(l_orderkey" in p]
+        assert len(shuffles) == 1
+        found = claims.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_partkey"), F.first("l_partkey"))
+        for r in found.collect():
+            copies = [i for i in range(40) if (i % 6, i % 4) == (r.l_orderkey, r.l_linenumber)]
+            assert (r.n, r[3], r[4]) == (1, min(i % 5 for i in copies), min(i % 5 for i in copies))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
