@@ -11,6 +11,8 @@ from claimscope.operators.lookup import BROADCAST_ROWS
 from claimscope.sources.staging import stage
 
 SOURCE = "src_priority"
+# Up to this many hashes of ids that batch and history share are broadcast: 8 bytes each, about 60 in a hash table.
+BROADCAST_HASHES = 3_000_000
 
 
 def batch_history_union(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -65,21 +67,48 @@ def merge_batch_history(
     order_by: Sequence[str | Column] | None = None,
     history_unique: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_hashes: int = BROADCAST_HASHES,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Batch and history as one table with unique ``key``; the batch copy wins.
 
     For written tables. A batch counted to be small costs the history no shuffle: its
-    rows with a batch key are dropped map side. ``history_unique`` skips the count of
-    the history's keys.
+    rows with a batch key are dropped map side. So does a larger one that shares few enough
+    keys with the history (see ``_not_in``). ``history_unique`` skips the count of the
+    history's keys. ``columns`` may name those to keep; which copy of a key stays does not
+    depend on it.
     """
     older = history.select(*batch.columns)
     if not history_unique:
         older = unique_rows(older, key, order_by, broadcast_rows)
     newer = unique_rows(batch, key, order_by, broadcast_rows)
+    if columns is not None:
+        older, newer = (t.select(*dict.fromkeys([key, *columns])) for t in (older, newer))
     # A missing key equals a missing key here, as when keeping the first of both.
     ids = newer.select(F.col(key).alias("_id"))
-    is_small = batch.count() <= broadcast_rows
-    ids = F.broadcast(ids) if is_small else ids
-    older = older.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    if batch.count() <= broadcast_rows:
+        older, is_written = _without(older, F.broadcast(ids), key), True
+    else:
+        older, is_written = _not_in(older, ids, key, broadcast_hashes)
     merged = newer.withColumn(SOURCE, F.lit(0)).unionByName(older.withColumn(SOURCE, F.lit(1)))
-    return merged if is_small else stage(merged, "merged")
+    return merged if is_written else stage(merged, "merged")
+
+
+def _without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return rows.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+
+
+def _not_in(rows: DataFrame, ids: DataFrame, key: str, broadcast_hashes: int) -> tuple[DataFrame, bool]:
+    """``rows`` whose key is not among ``ids``, and whether they come without a shuffle of all rows.
+
+    The keys that both have are found by their keys alone. Counted to be few enough, their hashes are broadcast: a row
+    with another hash passes as it is, the others are compared by key.
+    """
+    both = ids.join(rows.select(key), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    shared = stage(both.select("_id", F.xxhash64("_id").alias("_hash")), "shared-keys")
+    if shared.count() > broadcast_hashes:
+        return _without(rows, ids, key), False
+    hashes = F.broadcast(shared.select("_hash").distinct())
+    same = F.xxhash64(key) == F.col("_hash")
+    alike = rows.join(hashes, same, "left_semi")
+    return rows.join(hashes, same, "left_anti").unionByName(_without(alike, shared.select("_id"), key)), True

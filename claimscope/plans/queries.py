@@ -244,7 +244,7 @@ def batch_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def onehot_gender_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, history = _pair(spark, sf_dir)
-    levels = encode.fit_levels(keyed.merge_batch_history(batch, history), S.CATEGORIES)
+    levels = encode.fit_levels(keyed.merge_batch_history(batch, history, columns=S.CATEGORIES), S.CATEGORIES)
     flags = [S.onehot_name(c, v) for c in S.CATEGORIES for v in levels[c][1:]]
     return encode.one_hot(batch, levels).select("ClaimID", *flags)
 

@@ -1,12 +1,16 @@
 """How often rows are shuffled, with the same results at every limit."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
 
+from claimscope.operators import keyed
 from claimscope.operators.group_features import KeyPlan, KeySet, per_key
+from claimscope.plans import queries
 from claimscope.sources import star
-from claimscope.sources.staging import stage
+from claimscope.sources.staging import stage, staging_root
 
 PLAN = KeyPlan([KeySet(("p", "a")), KeySet(("p", "b")), KeySet(("p", "a", "b"))])
 
@@ -58,3 +62,34 @@ def test_lines_are_shuffled_once_for_first_copies_and_orders(spark, tmp_path):
             assert (r.n, r[3], r[4]) == (1, min(i % 5 for i in copies), min(i % 5 for i in copies))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def _sides(spark):
+    batch = [("A", 1, "x"), ("B", 2, "x"), (None, 3, "x"), ("A", 0, "x")]
+    history = [("A", 9, "y"), ("C", 8, "y"), ("C", 7, "y"), (None, 6, "y"), ("D", 5, "y")]
+    return [stage(spark.createDataFrame(t, "ClaimID string, v int, w string"), "side") for t in (batch, history)]
+
+
+def test_shared_keys_are_dropped_without_a_shuffle_of_all_rows(spark):
+    wanted = [(None, 3, "x", 0), ("A", 0, "x", 0), ("B", 2, "x", 0), ("C", 7, "y", 1), ("D", 5, "y", 1)]
+    for hashes in (100, 0):
+        before = set(os.listdir(staging_root(spark)))
+        merged = keyed.merge_batch_history(*_sides(spark), broadcast_rows=0, broadcast_hashes=hashes)
+        assert rows(merged, "ClaimID") == wanted
+        written = {n.rsplit("-", 1)[0] for n in set(os.listdir(staging_root(spark))) - before}
+        assert ("merged" in written) == (hashes == 0)
+
+
+def test_kept_columns_do_not_change_which_copy_stays(spark):
+    for limit in (0, 100):
+        merged = keyed.merge_batch_history(*_sides(spark), broadcast_rows=limit, columns=["v"])
+        assert merged.columns == ["ClaimID", "v", keyed.SOURCE]
+        assert [r.v for r in merged.orderBy("ClaimID").collect()] == [3, 0, 2, 7, 5]
+
+
+def test_levels_are_read_from_few_columns(spark, sf_dir, monkeypatch):
+    seen = []
+    real = queries.encode.fit_levels
+    monkeypatch.setattr(queries.encode, "fit_levels", lambda df, columns: seen.append(df.columns) or real(df, columns))
+    queries.onehot_gender_race(spark, sf_dir)
+    assert seen == [["ClaimID", "Gender", "Race", keyed.SOURCE]]
