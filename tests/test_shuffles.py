@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of, rows
 
 from claimscope.operators import keyed
-from claimscope.operators.group_features import KeyPlan, KeySet, per_key
+from claimscope.operators.group_features import KeyPlan, KeySet, attach, attach_counts, keyed_table, per_key
 from claimscope.plans import queries
 from claimscope.sources import star
 from claimscope.sources.staging import stage, staging_root
@@ -93,3 +93,42 @@ def test_levels_are_read_from_few_columns(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries.encode, "fit_levels", lambda df, columns: seen.append(df.columns) or real(df, columns))
     queries.onehot_gender_race(spark, sf_dir)
     assert seen == [["ClaimID", "Gender", "Race", keyed.SOURCE]]
+
+
+def _counted(claims, **limits):
+    marked = claims.withColumnRenamed("n", "ClaimID").withColumns({"has_id": F.expr("ClaimID % 10 > 0"), "in_batch": F.lit(True)})
+    return attach_counts(marked, PLAN, "_count", **limits)
+
+
+def test_groups_with_one_first_key_are_counted_where_claims_lie(spark):
+    claims = _claims(spark)
+    whole, texts = _counted(claims)
+    assert plan_of(whole).count("Exchange") == 1
+    made = claims.orderBy("n").collect()
+    wanted = []
+    for r in made:
+        counts = []
+        for s in PLAN.sets:
+            key = tuple(r[k] for k in s.keys)
+            same = [o for o in made if tuple(o[k] for k in s.keys) == key and o.n % 10 > 0]
+            counts.append(None if None in key else len(same))
+        wanted.append((r.n, *counts))
+    # P2 holds most claims: looked up apart by the second call, and all keys by the third.
+    for limits in ({}, {"share": 0.4, "hot_claims": 0}, {"share": 0.0, "hot_claims": 0, "broadcast_rows": 0, "claims_per_task": 10}):
+        found, texts = _counted(claims, **limits)
+        assert rows(found.select("ClaimID", *[texts[i] for i in range(3)]), "ClaimID") == wanted
+
+
+def test_map_side_values_are_not_shuffled(spark):
+    plan = KeyPlan([KeySet(("a",)), KeySet(("n",))])
+    claims = _claims(spark).withColumn("in_batch", F.lit(True))
+    table = keyed_table(claims, plan, {"c": F.count("*")}, "array(c, c)")
+    # Five keys of the one set are broadcast, 400 of the other are looked up by a shuffle.
+    found, texts = attach(claims, table, plan, 400, "_v", broadcast_rows=10, row_id="n")
+    plan_text = plan_of(found.select("n", *texts.values()))
+    assert "Exchange hashpartitioning" in plan_text
+    top = plan_text.splitlines()
+    shuffled = min(i for i, line in enumerate(top) if "Exchange hashpartitioning" in line)
+    assert any("BroadcastHashJoin" in line for line in top[:shuffled])
+    got = {r[0]: (r[1], r[2]) for r in found.select("n", texts[0], texts[1]).collect()}
+    assert got[1] == ([53, 53], [1, 1]) and got[0] == (None, [1, 1])
