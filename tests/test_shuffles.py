@@ -1,5 +1,6 @@
 """How often rows are shuffled, with the same results at every limit."""
 
+import glob
 import os
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from conftest import plan_of, rows
 from claimscope.operators import keyed
 from claimscope.operators.group_features import KeyPlan, KeySet, attach, attach_counts, keyed_table, per_key
 from claimscope.plans import queries
+from claimscope.plans.history_store import HistoryStore
+from claimscope.plans.tables import prepared
 from claimscope.sources import star
 from claimscope.sources.staging import stage, staging_root
 
@@ -132,3 +135,12 @@ def test_map_side_values_are_not_shuffled(spark):
     assert any("BroadcastHashJoin" in line for line in top[:shuffled])
     got = {r[0]: (r[1], r[2]) for r in found.select("n", texts[0], texts[1]).collect()}
     assert got[1] == ([53, 53], [1, 1]) and got[0] == (None, [1, 1])
+
+
+def test_claims_of_a_bucket_are_written_by_several_tasks(spark, sf_dir, tmp_path):
+    history = prepared(spark, sf_dir, "history")
+    store = HistoryStore.create(history, f"{tmp_path}/history", rows_per_bucket=history.count() // 2 + 1)
+    assert store._state().buckets == 2
+    files = {b: glob.glob(f"{tmp_path}/history/claims/version=1/id_bucket={b}/*.parquet") for b in (0, 1)}
+    assert all(len(names) > 1 for names in files.values())
+    assert store.claims().count() == history.select("ClaimID").distinct().count()
