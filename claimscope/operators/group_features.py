@@ -30,6 +30,8 @@ HAS_ID = "has_id"
 # Claims that are grouped by all key sets in one task, and the fewest that a first key has to hold to be grouped apart.
 CLAIMS_PER_TASK = 50_000
 HOT_CLAIMS = 10_000
+# Up to this many key sets, windows count faster than a lookup; each one sorts the claims once more.
+WINDOW_SETS = 8
 
 
 def has_id() -> Column:
@@ -314,7 +316,7 @@ def group_counts(
         rows = stage(claims.withColumn(row_id, F.monotonically_increasing_id()), "numbered")
     plan = KeyPlan([KeySet(tuple(k)) for k in key_sets.values()])
     marked = rows.withColumns({IN_BATCH: F.lit(True), HAS_ID: has_id()})
-    if plan.lead is not None:
+    if plan.lead is not None and len(plan.sets) <= WINDOW_SETS:
         found, texts = attach_counts(marked, plan, "_count", row_id=row_id, **limits)
         return found.selectExpr(*map(quoted, claims.columns), *[named(texts[i], name) for i, name in enumerate(key_sets)])
     table = keyed_table(marked, plan, {"n": F.count_if(HAS_ID)}, "n", [HAS_ID])
