@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from claimscope.operators.sampling import ROW_INDEX
+from claimscope.sources.staging import tasks_for
 
 PART, PLACE = "_part", "_place"
 _PLACE_MASK = (1 << 33) - 1
 _BUCKET_DIGITS = 5
+# No partition is made for fewer rows.
+_LEAST_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -36,11 +39,13 @@ class PositionIndex:
     def write(cls, df: DataFrame, order_by: Sequence[str], path: str, partitions: int | None = None) -> PositionIndex:
         """Write ``df``, itself a written table, in the order of ``order_by``; rows that agree in it go by their place in ``df``.
 
-        That place also splits an order key which many rows share over several partitions.
+        That place also splits an order key which many rows share over several partitions. Without ``partitions``, each has about as
+        many rows as a task sorts in memory.
         """
+        partitions = partitions or max(1, min(tasks_for(df), df.count() // _LEAST_ROWS))
         tied = df.withColumn("_tie", F.monotonically_increasing_id())
         order = [*order_by, "_tie"]
-        spread = tied.repartitionByRange(partitions, *order) if partitions else tied.repartitionByRange(*order)
+        spread = tied.repartitionByRange(partitions, *order)
         placed = spread.sortWithinPartitions(*order).drop("_tie").withColumns(
             {PART: F.spark_partition_id(), PLACE: F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_MASK))}
         )

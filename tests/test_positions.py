@@ -103,3 +103,11 @@ def test_an_empty_table_and_a_reread_index(spark, table, index, expected, tmp_pa
     PositionIndex.write(table, ["k"], path, partitions=3)
     again = PositionIndex.read(spark, path, table)
     assert rows(again.slice_positions(100, 120), "row_index") == expected[100:120]
+
+
+def test_partitions_follow_the_rows(spark, tmp_path):
+    # Small partitions were joined up to a size in bytes, of rows that are wider when sorted.
+    made = stage(spark.range(6000).selectExpr("concat('k', id) AS k"), "rows")
+    index = PositionIndex.write(made, ["k"], str(tmp_path / "i"))
+    assert len(index.parts) == 4 and index.total == 6000
+    assert [r.k for r in index.frame().orderBy("row_index").collect()] == sorted(f"k{i}" for i in range(6000))
