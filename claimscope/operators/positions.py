@@ -8,6 +8,7 @@ partitions and of places in the outermost ones; the scan gets both, so it opens
 from __future__ import annotations
 
 import bisect
+import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -16,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from claimscope.operators.lookup import BROADCAST_ROWS
 from claimscope.operators.sampling import ROW_INDEX
-from claimscope.sources.staging import tasks_for
+from claimscope.sources.staging import stage, tasks_for
 
 PART, PLACE = "_part", "_place"
 _PLACE_MASK = (1 << 33) - 1
 _BUCKET_DIGITS = 5
+# Hex digits of a hash that read as a number, and how far beyond the expected number of positions candidates reach.
+_LEADING_DIGITS, _DEVIATIONS = 13, 8
 # No partition is made for fewer rows.
 _LEAST_ROWS = 1000
 
@@ -129,16 +133,16 @@ class PositionIndex:
     def random_rows(self, n: int, seed: int | None = None) -> DataFrame:
         """Exactly ``n`` rows without replacement, the first in order of ``md5(seed-row_index)``.
 
-        The order needs the positions alone, no row. Whole hash buckets are taken up to the one in which the n-th position lies, and that
-        one is ranked; then the rows of the chosen positions are looked up in their partitions.
+        The order needs the positions alone, no row. Those with the lowest hashes, some more than ``n``, are written as candidates. Of
+        these, whole hash buckets are taken up to the one in which the n-th position lies, and that one is ranked; then the rows of the
+        chosen positions are looked up in their partitions.
         """
         if not 0 <= n <= self.total:
             raise ValueError(f"cannot take {n} of {self.total} rows without replacement")
         if n == 0:
             return self._range(0, 0)
         seed = random.getrandbits(63) if seed is None else seed
-        spark = self.rows.sparkSession
-        hashed = spark.range(self.total).withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))))
+        hashed = self._lowest(n, seed)
         hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, _BUCKET_DIGITS))
         so_far = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         upto = hashed.groupBy("_bucket").count().withColumn("_upto", F.sum("count").over(so_far))
@@ -146,10 +150,25 @@ class PositionIndex:
         missing = n - (edge["_upto"] - edge["count"])
         last = hashed.filter(F.col("_bucket") == edge["_bucket"]).orderBy("_hash", "id").limit(missing)
         chosen = hashed.filter(F.col("_bucket") < edge["_bucket"]).unionByName(last).select("id")
-        return self._looked_up(chosen)
+        return self._looked_up(chosen, n)
 
-    def _looked_up(self, positions: DataFrame) -> DataFrame:
-        """The rows at ``positions``, a column ``id`` of distinct existing ones."""
+    def _lowest(self, n: int, seed: int) -> DataFrame:
+        """At least ``n`` positions with their hashes, written: all whose hash is below a bound."""
+        spark = self.rows.sparkSession
+        label = F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))
+        hashed = spark.range(self.total).withColumn("_hash", F.md5(label))
+        wanted = n
+        while True:
+            wanted = wanted + _DEVIATIONS * (math.sqrt(wanted) + 1)
+            if wanted >= self.total:
+                return hashed
+            bound = f"{int(wanted / self.total * 16**_LEADING_DIGITS):0{_LEADING_DIGITS}x}"
+            found = stage(hashed.filter(F.col("_hash") < bound), "lowest")
+            if found.count() >= n:
+                return found
+
+    def _looked_up(self, positions: DataFrame, n: int) -> DataFrame:
+        """The rows at ``positions``, a column ``id`` of ``n`` distinct existing ones."""
         spark = self.rows.sparkSession
         ends = [*self.starts[1:], self.total]
         # Positions and partitions meet by stretches as long as a partition on average; the directory has about two rows per partition.
@@ -160,6 +179,8 @@ class PositionIndex:
         met = positions.withColumn("_stretch", F.expr(f"id div {stretch}")).join(F.broadcast(ranges), "_stretch").filter(inside)
         wanted = met.select(PART, (F.col("id") - F.col("_start")).alias(PLACE), "_start")
         used = [r[0] for r in wanted.select(PART).distinct().collect()]
+        # Counted to be few, the positions are broadcast, and no row is shuffled.
+        wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
         return self._numbered(self.rows.filter(F.col(PART).isin(used)).join(wanted, [PART, PLACE]), F.col("_start"))
 
 

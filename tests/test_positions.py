@@ -111,3 +111,15 @@ def test_partitions_follow_the_rows(spark, tmp_path):
     index = PositionIndex.write(made, ["k"], str(tmp_path / "i"))
     assert len(index.parts) == 4 and index.total == 6000
     assert [r.k for r in index.frame().orderBy("row_index").collect()] == sorted(f"k{i}" for i in range(6000))
+
+
+def test_random_rows_are_found_without_a_shuffle_of_all_rows(spark, index, expected):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        picked = index.random_rows(40, seed=9)
+        assert "BroadcastHashJoin [_part" in plan_of(picked) and "SortMergeJoin" not in plan_of(picked)
+        order = sorted(range(N), key=lambda i: (hashlib.md5(f"9-{i}".encode()).hexdigest(), i))
+        assert rows(picked, "row_index") == [expected[i] for i in sorted(order[:40])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
