@@ -16,6 +16,7 @@ File layout, little-endian: segments, footer, 8 bytes footer length, magic.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import uuid
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +37,9 @@ SEGMENT_TOKENS = 1 << 20
 BLOCK_BYTES = 64
 #: Words that one task remembers the ids of; the words after these are encoded anew each time.
 REMEMBERED_WORDS = 700_000
+#: Bytes of text, or one text, whose words are looked up together.
+HELD_BYTES = 4_000_000
+PUNCTUATION = string.punctuation.encode()
 MANIFEST = "file_no int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, first long, n_tokens long, ids_crc32 long"
 
@@ -210,12 +215,19 @@ class CodeFile:
         self._file.close()
 
 
+def ends_in_letter(word: bytes) -> bool:
+    """Whether the last character is a lower-case ASCII letter or a letter of Latin-1 beyond ASCII."""
+    last = word[-1:]
+    return b"a" <= last <= b"z" or word[-2:-1] == b"\xc3" and last not in b"\x97\xb7"
+
+
 class WordEncoder:
-    """Ids of whole texts from the tokenizers library, a white-space run's words at a time.
+    """Ids of whole texts from the tokenizers library, which is asked once for a word.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those
-    of its words. ASCII letters are lower-cased first, as its normaliser does anyway, and a last full stop or
-    comma after an ASCII letter is a token of its own. A text with the start of a special token goes to the library as it is.
+    of its words. ASCII letters are lower-cased first, as its normaliser does anyway, and ASCII punctuation that ends a word
+    after a letter is always cut off. Arrow splits the texts, finds the distinct words of a few megabytes and puts the
+    ids of each text together; only distinct words are looked up here. A text with the start of a special token goes to the library as it is.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -242,8 +254,8 @@ class WordEncoder:
             ids = np.array(encoding.ids, "<u4")
             stops = np.flatnonzero(self._ends[np.minimum(ids, len(self._ends) - 1)]) + 1
             if len(stops) == len(part):
-                pieces = np.split(ids, stops[:-1])
-                found.update((w, p.tobytes()) for (w, _), p in zip(part, pieces, strict=True))
+                data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+                found.update((w, data[a:b]) for (w, _), a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
         rest = [(w, t) for w, t in zip(words, texts, strict=True) if w not in found]
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]
@@ -251,43 +263,56 @@ class WordEncoder:
             found.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(part, encodings, strict=True))
         return found
 
-    @staticmethod
-    def _split(text: bytes) -> list[bytes]:
-        words = []
-        for word in text.lower().split():
-            if word[-1] in b".," and len(word) > 1 and 97 <= word[-2] <= 122:
-                words.append(word[:-1])
-                words.append(word[-1:])
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        known = self._known
+        found = list(map(known.get, words))
+        whole: list[int] = []
+        parted: list[tuple[int, bytes, bytes]] = []
+        new: dict[bytes, None] = {}
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            word = words[k]
+            stem = word.rstrip(PUNCTUATION)
+            if len(stem) < len(word) and ends_in_letter(stem):
+                tail = word[len(stem) :]
+                parted.append((k, stem, tail))
+                new.update({w: None for w in (stem, tail) if w not in known})
             else:
-                words.append(word)
-        return words
+                whole.append(k)
+                new[word] = None
+        learnt = self._learn(list(new))
+        for k in whole:
+            found[k] = learnt[words[k]]
+        for k, stem, tail in parted:
+            found[k] = (learnt[stem] if stem in learnt else known[stem]) + (learnt[tail] if tail in learnt else known[tail])
+        for word, ids in learnt.items():
+            if len(known) >= REMEMBERED_WORDS:
+                break
+            if len(word) <= 40:
+                known[word] = ids
+        return found
 
     def encode_many(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """For each text the ids as little-endian 32-bit integers."""
-        held: list[list[bytes] | bytes] = []
+        held: list[bytes] = []
         size = 0
         for text in texts:
-            held.append(text if b"<|" in text else self._split(text))
+            held.append(text)
             size += len(text)
-            if size > 2_000_000:
+            if size > HELD_BYTES:
                 yield from self._encode(held)
                 held, size = [], 0
         yield from self._encode(held)
 
-    def _encode(self, held: list) -> Iterator[bytes]:
-        known = self._known
-        new = list(dict.fromkeys(w for words in held if isinstance(words, list) for w in words if w not in known))
-        learnt = self._learn(new)
-        for word, ids in learnt.items():
-            if len(known) >= REMEMBERED_WORDS:
-                break
-            if len(word) <= 40:
-                known[word] = ids
-        for words in held:
-            if isinstance(words, bytes):
-                yield self._plain(words.decode("utf-8")).tobytes()
-            else:
-                yield b"".join([known[w] if w in known else learnt[w] for w in words])
+    def _encode(self, held: list[bytes]) -> Iterator[bytes]:
+        special = [b"<|" in text for text in held]
+        split = pa.array([b"" if s else text for text, s in zip(held, special, strict=True)], pa.large_binary())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(split.cast(pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._look_up(distinct), pa.large_binary()).take(words.indices)
+        for text, s, own in zip(held, special, pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), pa.scalar(b"", pa.large_binary())), strict=True):
+            yield self._plain(text.decode("utf-8")).tobytes() if s else own.as_py()
 
 
 def write_codes(

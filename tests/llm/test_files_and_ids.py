@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from claimscope.llm import direct_codes
 from claimscope.llm.direct_codes import Segment, WordEncoder, pack_segment, read_codes, write_codes
 from claimscope.llm.piece_codec import PieceCodec, decode_ids, encode_texts
 
@@ -63,6 +64,33 @@ def test_word_encoder_equals_the_library():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_asked_for_once_and_without_their_punctuation():
+    asked = []
+
+    class Asked(WordEncoder):
+        def _learn(self, words):
+            asked.extend(words)
+            return super()._learn(words)
+
+    library = Tokenizer.from_file(WORDS)
+    ends = ["", ".", ",!!", "&&&", "'", "`^~", ".\u0301", "'s", "!1"]
+    words = ["word", "\u00e9t\u00e9", "\u00c9", "\u00ff", "Z", "\u00f7", "\u00d7", "1", "\u00aa", "e\u0301", "don't", "'"]
+    texts = ["  ".join(w + e for e in ends) for w in words] + ["word!! word) (word", "\n\t", "", "<|endoftext|> word!!"] * 2
+    got = [np.frombuffer(x, "<u4").tolist() for x in Asked(WORDS).encode_many(t.encode() for t in texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked))
+    assert [w for w in asked if w.startswith(b"word")] == [b"word", "word.\u0301".encode(), b"word's", b"word!1"]
+
+
+def test_words_beyond_those_remembered_and_texts_beyond_a_lookup(monkeypatch):
+    monkeypatch.setattr(direct_codes, "REMEMBERED_WORDS", 3)
+    monkeypatch.setattr(direct_codes, "HELD_BYTES", 20)
+    library = Tokenizer.from_file(WORDS)
+    texts = [f"word{i % 3}, {'long' * i}!! w\u00e9\u00e9. again..." for i in range(30)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(WORDS).encode_many(t.encode() for t in texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_are_read_back_in_order(spark, tmp_path):
     rows = [(i, f"word {i} " * (i % 7)) for i in range(50)] + [(3, "again"), (3, "again"), (None, "no id"), (60, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit("clash"))
