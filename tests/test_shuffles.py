@@ -2,12 +2,13 @@
 
 import glob
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
 
-from claimscope.operators import keyed
+from claimscope.operators import group_features, keyed
 from claimscope.operators.group_features import KeyPlan, KeySet, attach, attach_counts, keyed_table, per_key
 from claimscope.plans import queries
 from claimscope.plans.history_store import HistoryStore
@@ -144,3 +145,58 @@ def test_claims_of_a_bucket_are_written_by_several_tasks(spark, sf_dir, tmp_path
     files = {b: glob.glob(f"{tmp_path}/history/claims/version=1/id_bucket={b}/*.parquet") for b in (0, 1)}
     assert all(len(names) > 1 for names in files.values())
     assert store.claims().count() == history.select("ClaimID").distinct().count()
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = _shuffle_files(spark), spark.conf.get(name)
+    written = stage(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")), "counts")
+    assert written.count() == 700
+    for _ in range(50):
+        # The files of the count just above may be left.
+        left = {f.split("_")[1] for f in _shuffle_files(spark) - before}
+        if len(left) <= 1:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert spark.conf.get(name) == kept
+
+
+def test_many_sets_are_counted_by_one_sort_of_thin_rows(spark, monkeypatch):
+    claims = _claims(spark)
+    wanted, texts = _counted(claims)
+    wanted = rows(wanted.select("ClaimID", *texts.values()), "ClaimID")
+    monkeypatch.setattr(group_features, "WINDOW_SETS", 0)
+    whole, _ = _counted(claims)
+    text = plan_of(whole)
+    assert text.count("Exchange hashpartitioning(key_0") == 1 and text.count("Window [") == 1
+    for limits in ({}, {"share": 0.4, "hot_claims": 0}, {"share": 0.0, "hot_claims": 0, "broadcast_rows": 0, "claims_per_task": 10}):
+        found, texts = _counted(claims, **limits)
+        assert rows(found.select("ClaimID", *texts.values()), "ClaimID") == wanted
+
+
+def test_tables_by_the_first_key_are_looked_up_without_a_shuffle_of_thin_rows(spark):
+    claims = _claims(spark).withColumn("in_batch", F.lit(True))
+    table = keyed_table(claims, PLAN, {"c": F.count("*")}, "c")
+    texts = {i: f"v_{i}" for i in range(3)}
+    wanted = rows(group_features._looked_up(claims, table, PLAN, texts, 400, 1e-3, 0, "n"), "n")
+    # The second call takes P2 and the third all first keys apart.
+    for limits in ({}, {"share": 0.4, "hot_claims": 0}, {"share": 0.0, "hot_claims": 0}):
+        found = group_features._looked_up_beside(claims, table, PLAN, texts, limits.pop("share", 1e-3), 0, "n", **limits)
+        assert rows(found, "n") == wanted
+
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        thin = PLAN.melt_beside(group_features.dealt(claims, PLAN, ["n"], [], 5), "n")
+        text = plan_of(group_features.join_beside(thin, table.repartition(5, "key_0"), PLAN, "inner"))
+        assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
