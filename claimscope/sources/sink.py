@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.sources.staging import writing
+
 
 class BatchSink:
     """A table below ``path`` that grows by named batches, one writer at a time."""
@@ -35,7 +37,8 @@ class BatchSink:
         if batch in self._committed():
             return False
         attempt = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/rows/attempt={attempt}")
+        with writing(rows) as writer:
+            writer.parquet(f"{self.path}/rows/attempt={attempt}")
         commit = self.spark.createDataFrame([(batch, attempt)], "name string, attempt string").coalesce(1)
         commit.write.mode("overwrite").parquet(f"{self.path}/commits/batch={quote(batch, safe='')}")
         return True
