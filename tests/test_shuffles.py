@@ -195,8 +195,16 @@ def test_tables_by_the_first_key_are_looked_up_without_a_shuffle_of_thin_rows(sp
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         thin = PLAN.melt_beside(group_features.dealt(claims, PLAN, ["n"], [], 5), "n")
-        text = plan_of(group_features.join_beside(thin, table.repartition(5, "key_0"), PLAN, "inner"))
-        assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2
+        values = table.repartition(5, "key_0")
+        for how, hashed, join in (
+            ("inner", False, "SortMergeJoin"),
+            ("inner", True, "BuildRight"),
+            ("left", True, "LeftOuter, BuildLeft"),
+        ):
+            found = group_features.join_beside(thin, values, PLAN, how, hashed)
+            text = plan_of(found)
+            assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2 and join in text
+            assert found.count() == thin.count()
     finally:
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
