@@ -84,6 +84,16 @@ def test_shared_keys_are_dropped_without_a_shuffle_of_all_rows(spark):
         assert ("merged" in written) == (hashes == 0)
 
 
+def test_rows_of_shared_keys_are_found_by_hashes_of_the_keys(spark):
+    batch, history = _sides(spark)
+    ids = batch.select(F.col("ClaimID").alias("_id")).distinct()
+    for hashes in (100, 0):
+        found = keyed.rows_with_ids(history, ids, "ClaimID", hashes)
+        assert rows(found, "v") == [(None, 6, "y"), ("A", 9, "y")]
+        scans = [line for line in plan_of(found).splitlines() if "xxhash64(ClaimID" in line]
+        assert bool(scans) == (hashes > 0)
+
+
 def test_kept_columns_do_not_change_which_copy_stays(spark):
     for limit in (0, 100):
         merged = keyed.merge_batch_history(*_sides(spark), broadcast_rows=limit, columns=["v"])
